@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import cooccurrence, frequency, lookalike, neardup
+from loomline.llm import cooccurrence, frequency, langcrf, lookalike, neardup
 from loomline.sources.tables import read_table
 
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_groups": _tweets(neardup.groups),
         "p4_found": _tweets(cooccurrence.found),
         "p4_pairs": _tweets(lambda t: cooccurrence.associated_pairs(t, "ord", "tokens", min_lift=2.0)),
+        "p5_found": _tweets(langcrf.found),
+        "p5_languages": _tweets(langcrf.languages),
     }
 
 
