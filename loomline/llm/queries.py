@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import cooccurrence, frequency, langcrf, lookalike, neardup
+from loomline.llm import cooccurrence, frequency, langcrf, lookalike, neardup, subjects
 from loomline.sources.tables import read_table
 
 
@@ -14,6 +14,10 @@ def _tweets(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "tweets"))
 
 
+def _documents(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*(read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _tweets(lookalike.found),
@@ -26,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_pairs": _tweets(lambda t: cooccurrence.associated_pairs(t, "ord", "tokens", min_lift=2.0)),
         "p5_found": _tweets(langcrf.found),
         "p5_languages": _tweets(langcrf.languages),
+        "p8_found": _documents(subjects.found),
+        "p8_composition": _documents(subjects.composition),
     }
 
 
