@@ -339,9 +339,11 @@ def _labeller(model: Model):
 
 def fit(df: DataFrame, id_col: str = "ord", text_col: str = "tok_lang", tokens_col: str = "tokens", label_col: str = "lang_det", max_records: int = MAX_TRAINING_RECORDS) -> Model:
     """The model trained on at most ``max_records`` records with a usable label, chosen by a hash of their id."""
+    from loomline.plans.lineage import bounded_sample
+
     spread = "|".join(_CODES)
     usable = df.select(id_col, text_col, tokens_col, F.lower(F.trim(label_col)).alias("label")).where(F.col(text_col).isNotNull() & F.col(tokens_col).isNotNull() & F.col("label").rlike(f"^({spread})([-_].*)?$"))
-    rows = usable.orderBy(F.xxhash64(id_col), id_col).limit(max_records).collect()
+    rows = bounded_sample(usable, id_col, max_records).collect()
     return train([(label_code(r.label), r[text_col], [t for t in r[tokens_col] if t]) for r in rows])
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import cooccurrence, frequency, langcrf, lookalike, neardup, subjects
+from loomline.llm import cooccurrence, frequency, langcrf, lookalike, mixing, neardup, packing, subjects
 from loomline.sources.tables import read_table
 
 
@@ -14,8 +14,8 @@ def _tweets(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "tweets"))
 
 
-def _documents(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(*(read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects")))
+def _with(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*(read_table(spark, sf_dir, t) for t in tables))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +30,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_pairs": _tweets(lambda t: cooccurrence.associated_pairs(t, "ord", "tokens", min_lift=2.0)),
         "p5_found": _tweets(langcrf.found),
         "p5_languages": _tweets(langcrf.languages),
-        "p8_found": _documents(subjects.found),
-        "p8_composition": _documents(subjects.composition),
+        "p6_pack": _with(packing.pack, "documents", "containers"),
+        "p6_filling": _with(lambda d, c: packing.filling(packing.pack(d, c)), "documents", "containers"),
+        "p7_selection": _with(mixing.selection, "documents", "mix_targets"),
+        "p7_shares": _with(mixing.shares, "documents", "mix_targets"),
+        "p8_found": _with(subjects.found, "documents", "doc_labels", "subjects"),
+        "p8_composition": _with(subjects.composition, "documents", "doc_labels", "subjects"),
     }
 
 
