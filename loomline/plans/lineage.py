@@ -33,3 +33,16 @@ def once_per_key(df: DataFrame, key: str) -> DataFrame:
     single = rows.join(repeated, key, "left_anti")
     several = rows.join(repeated, key, "left_semi").dropDuplicates([key])
     return single.unionByName(several)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``key``: the same rows on every run, whatever the partitioning.
+
+    The rows are thinned by hash before the last few are dropped, so that the tasks together hand on little more
+    than ``n`` rows however many tasks there are.
+    """
+    total = df.count()
+    if total > n:
+        keep = min(1.0, (n + 4 * n**0.5 + 10) / total)
+        df = df.where(F.shiftrightunsigned(F.xxhash64(key), 11) < F.lit(int(keep * 2**53)))
+    return df.orderBy(F.xxhash64(key), key).limit(n)
