@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.graph import components
+
 #: Bits of a sketch; compared in chunks of 64.
 BITS = 256
 CHUNK = 64
@@ -179,33 +181,6 @@ def _expand(members: DataFrame, links: DataFrame, hours: int) -> DataFrame:
     return pick(across).unionByName(pick(within))
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node reachable over the undirected links (a, b), for each node.
-
-    Rounds of alternating large-star and small-star steps, so the rounds grow with the logarithm of a component's
-    size. Hubs don't gather their neighbours: only minima are taken by key.
-    """
-    from loomline.plans.lineage import cut
-
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(small)
-        same = new.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0 and edges.join(new, ["u", "v"], "left_anti").limit(1).count() == 0
-        edges = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
 def near_groups(df: DataFrame, id_col: str, words: Column, time_col: str, hours: int = 72, min_words: int = 8, threshold: Fraction = Fraction(7, 10)) -> DataFrame:
     """(id, cell, group, links): for each id with enough words its class of equal texts, the group of classes it is
     linked to over any chain of similar pairs (named by its least id), and the number of classes its class is similar to.
