@@ -77,6 +77,8 @@ def prox_graph(shape: tuple[int, int, int], t_tasks: float = 1.0, t_regions: flo
 
     def prox(w: np.ndarray, t: float) -> np.ndarray:
         cube = w.reshape(words, regions, tasks)
+        if not words:
+            return w
         return np.stack([prox_grid(m, t * t_tasks, t * t_regions) for m in cube]).reshape(w.shape)
 
     return prox
@@ -196,7 +198,7 @@ def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float =
     for epoch in range(epochs):
         d = contract_users(x, u.where("u <> 0")).toPandas()
         w_frame = _solve_words(d, target, regions, tasks, lam_w, multitask)
-        w = cut(spark.createDataFrame(w_frame, w_schema))
+        w = cut(spark.createDataFrame(w_frame if len(w_frame) else [], w_schema))
         v = contract_words(x, w.where("w <> 0"))
         goal = spark.createDataFrame(target[["day", "region", "task", "c"]], "day int, region int, task string, c double")
         rows = v.join(goal, ["day", "region", "task"]).select("region", "task", "day", "user", "v", "c")
@@ -244,6 +246,8 @@ def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: li
             m[part["day"].map(day), part["word"].map(at)] = part["d"]
             blocks.append((m, y["c"].to_numpy(float)))
     cube = np.zeros(shape)
+    if not words:
+        return pd.DataFrame(columns=["region", "task", "word", "w"])
     step = 1 / max(max((np.linalg.norm(m, 2) ** 2 for m, _ in blocks if m.size), default=1.0), 1e-12)
     prox = prox_graph(shape)
     z, momentum = cube.copy(), 1.0

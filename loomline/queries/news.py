@@ -161,7 +161,7 @@ def oracle_sql() -> dict[str, str]:
         "class_closure": _KEPT + _CLASS + " select word, class from cl",
         "class_expand_direct": every + _CLASS + " select cast(day as varchar) as day, class, cast(sum(cnt) as bigint) as cnt from c join wc on wc.word = c.term group by day, class",
         "class_expand_all": every + _CLASS + " select cast(x.day as varchar) as day, x.source, x.class, x.cnt, ac.article_count from (select day, source, class, cast(sum(cnt) as bigint) as cnt from c join cl on cl.word = c.term group by day, source, class) x join ac on ac.day = x.day and ac.source = x.source",
-        "class_ids": _TERMS + _IDX + _CLASS + ", nk as (select distinct 'class:' || class as key from cl) select idx, term as key from ti union all select cast((select max(idx) from ti) + row_number() over (order by key) as integer), key from nk",
+        "class_ids": _TERMS + _IDX + _CLASS + ", nk as (select distinct 'class:' || class as key from cl) select idx, term as key from ti union all select cast((select coalesce(max(idx), -1) from ti) + row_number() over (order by key) as integer), key from nk",
         "triples_roundtrip": facts + " select cast(day as varchar) as day, source, term, cnt from c",
         "thread_stories": r"""with p as (select doc_id, string_split(text, chr(10)) as ls from documents where kind = 'thread' and text is not null),
             l as (select doc_id, unnest(range(0, len(ls))) as par, unnest(ls) as line from p),
