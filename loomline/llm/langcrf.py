@@ -1,8 +1,9 @@
 """Problem 5: the language of each record and of each of its passages, with a confidence.
 
-Method: a linear-chain conditional random field over the words. Each word's score for a state (nine languages and
+Method: a linear-chain conditional random field over the words. Each word's score for a label (nine languages and
 'no language', for names and signs) is the sum of learned weights of its affixes, n-grams, whole form and lexicon
-entries; transitions are learned too. Words get their state from the posterior marginals of the forward-backward
+entries; transitions are learned too. A word without language keeps the language around it in its state, so that
+names don't cut the context. Words get their state from the posterior marginals of the forward-backward
 recursion. Training is weakly supervised by the stored labels: a word may have the record's language, or none where
 it is written like a name, and the likelihood of all allowed labellings is maximised on a bounded sample.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt", "sv", "ru")
 NONE = len(LANGUAGES)
 STATES = NONE + 1
+#: States of the chain: the languages, and no language within the context of each.
+CHAIN = 2 * NONE
 # Other ways to name a language.
 NAMES = {
     "en": "en eng english", "de": "de deu ger german deutsch", "fr": "fr fra fre french français", "es": "es spa spanish español", "it": "it ita italian italiano",
@@ -30,20 +33,21 @@ NAMES = {
 }
 # Frequent function words that only one of the nine languages has.
 LEXICON = {
-    "en": "the and of with this that was for have from their which would could should they",
+    "en": "the and of with this that for have from their which would could should they",
     "de": "der das und nicht ist mit ein eine auf für dem sich auch werden zum wird schon",
-    "fr": "les dans pour qui une avec sur au ce cette nous vous aux après être encore",
-    "es": "el los las y muy pero su porque hay cuando también hasta donde según nada",
+    "fr": "les dans pour qui une avec au ce cette nous vous aux après être encore",
+    "es": "el los las y muy pero su hay cuando también hasta donde según",
     "it": "che gli della non è sono anche questo nel dei più ancora degli perché",
-    "nl": "het een van niet zijn voor er maar ook naar bij wordt werd nog volgens",
-    "pt": "os não uma são você ele foi pela ao dos isso também às depois ainda",
+    "nl": "het een van niet zijn voor maar ook naar bij wordt werd nog volgens",
+    "pt": "os não uma são você ele foi pela ao isso também às depois ainda",
     "sv": "och att det som är på av för inte har ett från till någon efter",
     "ru": "и в не на что он как это по но из у за от так же для",
 }
 #: Bounds of the training: records looked at, passes over them, hash buckets of the weights.
 MAX_TRAINING_RECORDS = 8000
 EPOCHS = 45
-BUCKETS = 1 << 16
+RATE, FLOOR = 0.3, 1e-4
+BUCKETS = 1 << 18
 PAD = BUCKETS + STATES
 GRAMS = (2, 3, 4)
 
@@ -59,6 +63,10 @@ _ALIKE = str.maketrans("аеѕіјорсухһӏԁοναικρɑɡ", "aesijopcyx
 _ALIKE_BACK = str.maketrans("aeopcyxABEKMHOPCTX", "аеорсухАВЕКМНОРСТХ")
 
 
+_CYRILLIC, _LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[a-zà-ÿ]")
+RUSSIAN = LANGUAGES.index("ru")
+
+
 def plain(word: str) -> str:
     """A word without disguise: compatibility forms, unseen characters and stray look-alike letters undone."""
     if word.isascii():
@@ -115,17 +123,27 @@ def _by_length(words: list[str], cells: int = 400_000) -> Iterator[tuple[np.ndar
         at = end
 
 
+def script_scores(words: list[str]) -> np.ndarray:
+    """(words, STATES): a fixed penalty on the languages that aren't written in a word's script."""
+    cyrillic = np.array([bool(_CYRILLIC.search(plain(w))) for w in words], bool)
+    latin = np.array([bool(_LATIN.search(plain(w))) for w in words], bool) & ~cyrillic
+    out = np.zeros((len(words), STATES), np.float32)
+    out[np.ix_(cyrillic, [k for k in range(NONE) if k != RUSSIAN])] = -12
+    out[latin, RUSSIAN] = -12
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # (PAD + 1, STATES); the last row is zero
-    transitions: np.ndarray  # (STATES, STATES), log scale
+    transitions: np.ndarray  # (CHAIN, CHAIN), log scale
     start: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), STATES), np.float32)
         for where, index, weight in _by_length([plain(w) for w in words]):
             out[where] = np.einsum("vfs,vf->vs", self.weights[index], weight)
-        return out
+        return out + script_scores(words)
 
 
 def _batches(lengths: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -172,8 +190,21 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return gamma, pairs, gamma[:, 0].sum(axis=0), log
 
 
+def spread(scores: np.ndarray) -> np.ndarray:
+    """Label scores (..., STATES) as scores of the chain's states (..., CHAIN)."""
+    return np.concatenate([scores[..., :NONE], np.repeat(scores[..., NONE:], NONE, axis=-1)], axis=-1)
+
+
+def gather(marginals: np.ndarray) -> np.ndarray:
+    """Marginals of the chain's states as marginals of the labels."""
+    return np.concatenate([marginals[..., :NONE], marginals[..., NONE:].sum(axis=-1, keepdims=True)], axis=-1)
+
+
 def _like_names(records: list[tuple[str, list[str]]]) -> tuple[set[str], set[str]]:
-    """(written like names, only ever seen capitalised): by how words in mid sentence are written outside German."""
+    """(written like names, capitalised and too rare to tell), by how words in mid sentence are written.
+
+    Names are everyone's, so most of their capitals stand in records of other languages than German; words whose
+    capitals stand in German records are German nouns."""
     capital, small, german = Counter(), Counter(), Counter()
     for code, tokens in records:
         for before, word in zip(tokens, tokens[1:], strict=False):
@@ -184,8 +215,9 @@ def _like_names(records: list[tuple[str, list[str]]]) -> tuple[set[str], set[str
                 (german if code == "de" else capital)[w] += 1
             else:
                 small[w] += 1
-    names = {w for w, n in capital.items() if n > 2 * small[w]}
-    return names, {w for w in german if not small[w] and w not in capital}
+    known = {w: capital[w] + german[w] for w in {*capital, *german} if capital[w] + german[w] > 2 * small[w]}
+    names = {w for w, n in known.items() if 2 * capital[w] >= n}
+    return names, {w for w, n in known.items() if w not in names and n == 1}
 
 
 def train(records: list[tuple[str, str, list[str]]], epochs: int = EPOCHS, seed: int = 1) -> Model:
@@ -194,15 +226,15 @@ def train(records: list[tuple[str, str, list[str]]], epochs: int = EPOCHS, seed:
     weights = np.zeros((PAD + 1, STATES), np.float32)
     for k in range(NONE):
         weights[BUCKETS + k, k] = 3.0
-    transitions = np.full((STATES, STATES), -3.0)
-    transitions[np.arange(STATES), np.arange(STATES)] = 0.0
-    transitions[:, NONE] = transitions[NONE, :] = -0.7
-    model = Model(weights, transitions, np.zeros(STATES))
+    same = np.arange(CHAIN) % NONE
+    transitions = np.where(same[:, None] == same[None, :], 0.0, -4.0)
+    model = Model(weights, transitions, np.zeros(CHAIN))
     if not records:
         return model
-    names, maybe = _like_names([(c, t) for c, _, t in records])
+    names, maybe = _like_names([(c, t) for c, _, t in records])  # robust to wrong labels: majorities count
     texts = [(LANGUAGES.index(code), [w for w in text.split(" ") if w]) for code, text, _ in records]
     texts = [(k, w) for k, w in texts if w]
+    texts = _plausible(texts, names)
     for phase in range(2):
         if phase:  # records that the model reads otherwise than they are labelled, or as mixed, teach nothing more
             texts = [x for x, p in zip(texts, _decode(model, [w for _, w in texts]), strict=True) if _agrees(x[0], p)]
@@ -215,6 +247,26 @@ def train(records: list[tuple[str, str, list[str]]], epochs: int = EPOCHS, seed:
     return model
 
 
+def _plausible(texts: list[tuple[int, list[str]]], names: set[str]) -> list[tuple[int, list[str]]]:
+    """Records whose label is the likeliest given their words, by word counts over the others (naive Bayes, each record
+    left out of its own counts). A wrong label would else pull all words of its record towards itself."""
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in texts for w in ws if w not in names))}
+    counts = np.full((len(vocabulary), NONE), 0.01)
+    sets = [np.array(sorted({vocabulary[w] for w in ws if w in vocabulary}), np.int64) for _, ws in texts]
+    records = np.full(NONE, 1.0)
+    for (k, _), s in zip(texts, sets, strict=True):
+        counts[s, k] += 1
+        records[k] += 1
+    kept = []
+    for x, s in zip(texts, sets, strict=True):
+        own = counts[s].copy()
+        own[:, x[0]] -= 1
+        best = (np.log(own) - np.log(records)).sum(axis=0).argmax() if len(s) else x[0]
+        if best == x[0]:
+            kept.append(x)
+    return kept
+
+
 def _agrees(k: int, posterior: np.ndarray) -> bool:
     counts = np.bincount(posterior.argmax(axis=1), minlength=STATES)[:NONE]
     return counts.sum() == 0 or counts.argmax() == k and counts.sum() - counts[k] <= 1
@@ -224,6 +276,7 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in rows for w in ws))}
     words = list(vocabulary)
     shown = [plain(w) for w in words]
+    script = script_scores(words)
     kind = np.zeros(len(words), np.int8)  # 0 the record's language, 1 none, 2 either, 3.. the lexicon's
     for i, w in enumerate(shown):
         kind[i] = 3 + _LEX[w] if w in _LEX else 1 if words[i] in names or not any(c.isalpha() for c in w) else 2 if words[i] in maybe else 0
@@ -237,10 +290,12 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
         c, y = np.zeros((len(picked), t), np.int64), np.zeros((len(picked), t), np.int64)
         for r, i in enumerate(picked):
             c[r, : lengths[i]], y[r, : lengths[i]] = code[i], label[i]
-        allowed = np.zeros((*c.shape, STATES), bool)
+        allowed = np.zeros((*c.shape, CHAIN), bool)
         kinds = kind[c]
-        np.put_along_axis(allowed, np.where(kinds >= 3, kinds - 3, np.where(kinds == 1, NONE, y))[:, :, None], True, axis=2)
-        allowed[kinds == 2, NONE] = True
+        np.put_along_axis(allowed, np.where(kinds >= 3, kinds - 3, np.where(kinds == 1, NONE + y, y))[:, :, None], True, axis=2)
+        np.put_along_axis(allowed, np.where(kinds == 2, NONE + y, allowed.argmax(axis=2))[:, :, None], True, axis=2)
+        # Where the record's language isn't written in the word's script, the word may have any other label.
+        allowed[(script[c, y] < 0) & (kinds != 1) & (kinds < 3)] = True
         batches.append((c, allowed, lengths[picked]))
     params = [model.weights, model.transitions, model.start]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -249,12 +304,13 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
         emissions = np.zeros((len(words), STATES), np.float32)
         for where, index, weight in blocks:
             emissions[where] = np.einsum("vfs,vf->vs", model.weights[index], weight)
-        by_word, by_pair, by_start = np.zeros((len(words), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        emissions += script
+        by_word, by_pair, by_start = np.zeros((len(words), STATES)), np.zeros((CHAIN, CHAIN)), np.zeros(CHAIN)
         for c, allowed, n in batches:
-            scores = emissions[c].astype(np.float64)
+            scores = spread(emissions)[c]
             free = forward_backward(scores, n, model.transitions, model.start)
             bound = forward_backward(np.where(allowed, scores, -1e4), n, model.transitions, model.start)
-            error = (bound[0] - free[0]).reshape(-1, STATES)
+            error = gather(bound[0] - free[0]).reshape(-1, STATES)
             flat = c.ravel()
             by_word += np.stack([np.bincount(flat, weights=error[:, s], minlength=len(words)) for s in range(STATES)], axis=1)
             by_pair += bound[1] - free[1]
@@ -267,14 +323,15 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p += (0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(p.dtype)
+            # The floor keeps features of few words from moving as far as those of many.
+            p += (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + FLOOR)).astype(p.dtype)
         model.weights[PAD] = 0
 
 
 def _decode(model: Model, records: list[list[str]]) -> list[np.ndarray]:
     """Posterior marginals (words, STATES) of each record; none of the records may be empty."""
     codes, names = pd.factorize(np.array([w for r in records for w in r], dtype=object))
-    emissions = model.emissions(list(names))
+    emissions = spread(model.emissions(list(names)))
     lengths = np.array([len(r) for r in records])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     out: list[np.ndarray] = [np.zeros((0, STATES))] * len(records)
@@ -282,18 +339,20 @@ def _decode(model: Model, records: list[list[str]]) -> list[np.ndarray]:
         t = int(lengths[picked].max())
         where = np.minimum(starts[picked][:, None] + np.arange(t)[None, :], len(codes) - 1)
         gamma = forward_backward(emissions[codes[where]], lengths[picked], model.transitions.astype(np.float32), model.start.astype(np.float32))[0]
+        gamma = gather(gamma)
         for r, i in enumerate(picked):
             out[i] = gamma[r, : lengths[i]]
     return out
 
 
-def passages(states: np.ndarray) -> list[tuple[int, int, int, int]]:
+def passages(states: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(first, past, state, words) runs of one language; words without language neither count nor interrupt, and one
-    or two words of another language between two runs of the same language are borrowed ones."""
+    or two words of another language between two runs of the same language are borrowed ones. A word that only
+    repeats the one before it doesn't count again."""
     runs: list[list[int]] = []
     for i in np.flatnonzero(states != NONE):
         if runs and runs[-1][2] == states[i]:
-            runs[-1][1], runs[-1][3] = i + 1, runs[-1][3] + 1
+            runs[-1][1], runs[-1][3] = i + 1, runs[-1][3] + (not repeated[i])
         else:
             runs.append([i, i + 1, states[i], 1])
     changed = True
@@ -324,9 +383,10 @@ def _labeller(model: Model):
                     continue
                 states = p.argmax(axis=1)
                 sure = p.max(axis=1)
-                runs = [(0, len(states), int(states[0]), len(states))] if (states == states[0]).all() and states[0] != NONE else passages(states)
+                again = np.array([False, *(a == b for a, b in zip(words[i], words[i][1:], strict=False))])
+                runs = passages(states, again)
                 found = [{"first": a, "past": z, "lang": LANGUAGES[s], "words": n, "confidence": float(sure[a:z][states[a:z] == s].mean())} for a, z, s, n in runs]
-                mass = p[:, :NONE].sum(axis=0)
+                mass = p[~again, :NONE].sum(axis=0)
                 if (states != NONE).any():
                     best = int(mass.argmax())
                     rows.append((id_, LANGUAGES[best], float(mass[best] / mass.sum()), len(states), found))

@@ -234,8 +234,10 @@ def test_forward_backward_against_enumeration():
 
 def test_passages():
     n = langcrf.NONE
-    assert langcrf.passages(np.array([0, 0, n, 0, 1, 0, 0, n, 2, 2, 2])) == [(0, 7, 0, 5), (8, 11, 2, 3)]
-    assert langcrf.passages(np.array([n, n])) == []
+    fresh = np.zeros(11, bool)
+    assert langcrf.passages(np.array([0, 0, n, 0, 1, 0, 0, n, 2, 2, 2]), fresh) == [(0, 7, 0, 5), (8, 11, 2, 3)]
+    assert langcrf.passages(np.array([n, n]), fresh) == []
+    assert langcrf.passages(np.array([1, 1, 1]), np.array([False, True, True])) == [(0, 3, 1, 1)]
 
 
 def test_held_out_accuracy(data):
