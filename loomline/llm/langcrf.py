@@ -236,8 +236,10 @@ def train(records: list[tuple[str, str, list[str]]], epochs: int = EPOCHS, seed:
     texts = [(k, w) for k, w in texts if w]
     texts = _plausible(texts, names)
     for phase in range(2):
+        if not texts:
+            break
         if phase:  # records that the model reads otherwise than they are labelled, or as mixed, teach nothing more
-            texts = [x for x, p in zip(texts, _decode(model, [w for _, w in texts]), strict=True) if _agrees(x[0], p)]
+            texts = [x for x, p in zip(texts, _decode(model, [w for _, w in texts]), strict=True) if _agrees(x[0], p)] or texts
         # Two records of different languages one after the other teach how languages change within a record.
         rows = [([k] * len(w), w) for k, w in texts]
         for _ in range(len(texts) // 6):

@@ -138,7 +138,6 @@ def word_cells(df: DataFrame, id_col: str, words: Column, time_col: str, hours:
 def similar_cells(cells: DataFrame, hours: int, threshold: Fraction, tolerance: float = 1e-6) -> DataFrame:
     """(a, b): pairs of different cells, a < b, alike enough and possibly near enough in time."""
     keys = cells.select("cell", "slot", "n", "lo", "hi", "words").mapInPandas(_prefix_rows(_word_order(cells), threshold), KEYS)
-    keys = keys.repartition("key", "slot")
     span = hours * 3_600_000_000
     num, den = threshold.numerator, threshold.denominator
     side = lambda s: keys.select(*[F.col(c).alias(f"{s}_{c}") for c in keys.columns])

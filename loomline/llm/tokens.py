@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,13 +15,26 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@cache
+class _Loaded(dict):
+    """Encoders of this process; arrives empty elsewhere."""
+
+    def __reduce__(self):
+        return (_Loaded, ())
+
+
+_ENCODERS = _Loaded()
+
+
 def encoder(path: str):
+    """The tokenizer of a vocabulary file, loaded once a process."""
     import tiktoken
 
+    if path in _ENCODERS:
+        return _ENCODERS[path]
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    _ENCODERS[path] = made = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return made
 
 
 def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "tokens", path: str = VOCABULARY) -> DataFrame:
