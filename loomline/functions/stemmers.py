@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -711,7 +710,6 @@ STEMMERS: dict[str, Callable[[str], str]] = {
 }
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str, language: str) -> str:
     """The stem of a word in lower case; as it is for an unknown language."""
     known = STEMMERS.get(language)
@@ -720,7 +718,13 @@ def stem(word: str, language: str) -> str:
 
 def _stem_lists(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for tokens, languages in parts:
-        yield pd.Series([[stem(t, x) for t in ts if t is not None] if ts is not None and x in STEMMERS else [] for ts, x in zip(tokens, languages, strict=True)], dtype=object)
+        seen: dict[tuple[str, str], str] = {}  # each word of a batch is stemmed once
+        for ts, x in zip(tokens, languages, strict=True):
+            if ts is not None and x in STEMMERS:
+                for t in ts:
+                    if t is not None and (t, x) not in seen:
+                        seen[t, x] = stem(t, x)
+        yield pd.Series([[seen[t, x] for t in ts if t is not None] if ts is not None and x in STEMMERS else [] for ts, x in zip(tokens, languages, strict=True)], dtype=object)
 
 
 def stem_tokens(tokens: Column, language: Column) -> Column:
