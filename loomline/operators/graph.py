@@ -31,6 +31,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     checkpoint.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = mark(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -38,10 +40,9 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(small)
-        same = new.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0 and edges.join(new, ["u", "v"], "left_anti").limit(1).count() == 0
-        edges = new
-        if same:
+        edges, last = cut(small), state
+        state = mark(edges)
+        if state == last:
             break
     else:
         raise RuntimeError("components didn't settle")
@@ -58,15 +59,22 @@ def giant_component(edges: DataFrame) -> DataFrame:
     return roots.join(F.broadcast(best.select("root")), "root", "left_semi").select("node")
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :], 0)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 10, rounds: int = 100) -> np.ndarray:
     best, least = np.zeros(len(x), int), np.inf
     for _ in range(tries):
         centres = x[[int(rng.integers(len(x)))]]
+        near = _squares(x, centres)[:, 0]
         while len(centres) < k:
-            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else int(rng.integers(len(x)))]])
+            pick = rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else int(rng.integers(len(x)))
+            centres = np.vstack([centres, x[pick]])
+            near = np.minimum(near, _squares(x, centres[-1:])[:, 0])
         for _ in range(rounds):
-            dist = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+            dist = _squares(x, centres)
             label = dist.argmin(axis=1)
             moved = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
             if np.allclose(moved, centres):
@@ -78,23 +86,58 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 10, ro
     return best
 
 
-def spectral_labels(weights: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Labels of the rows of a symmetric nonnegative matrix: k-means on the rows of the leading eigenvectors of the
-    normalised graph Laplacian, each divided by the root of its degree."""
-    n = len(weights)
+def leading_vectors(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int, seed: int = 0, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors) of the k largest eigenvalues, rising, of the sparse symmetric matrix with entries w at (a, b)
+    and (b, a): Lanczos steps with full reorthogonalisation, more of them until the residuals are small."""
+    order = np.argsort(np.r_[a, b], kind="stable")
+    row, col, val = np.r_[a, b][order], np.r_[b, a][order], np.r_[w, w][order]
+    times = lambda v: np.bincount(row, weights=val * v[col], minlength=n)
+    q = np.random.default_rng(seed).normal(size=n)
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    goal = min(n, max(4 * k, 120))
+    while True:
+        while len(alpha) < goal:
+            v = times(basis[-1])
+            alpha.append(float(v @ basis[-1]))
+            block = np.array(basis)
+            for _ in range(2):
+                v -= block.T @ (block @ v)
+            size = float(np.linalg.norm(v))
+            beta.append(size)
+            if size < 1e-12 or len(alpha) == n:  # an invariant subspace: what is left is reached from a new direction
+                if len(alpha) >= goal or len(basis) >= n:
+                    break
+                v = np.random.default_rng(seed + len(alpha)).normal(size=n)
+                for _ in range(2):
+                    v -= block.T @ (block @ v)
+                beta[-1], size = 0.0, float(np.linalg.norm(v))
+            basis.append(v / size)
+        m = len(alpha)
+        t = np.diag(alpha) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1)
+        values, inner = np.linalg.eigh(t)
+        keep = slice(max(0, m - k), m)
+        if m >= n or np.abs(beta[m - 1] * inner[-1, keep]).max() < tolerance:
+            return values[keep], np.array(basis[:m]).T @ inner[:, keep]
+        goal = min(n, 2 * goal)
+
+
+def spectral_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int, seed: int = 0) -> np.ndarray:
+    """Labels of the n nodes of an undirected graph: k-means on the rows of the leading eigenvectors of the normalised
+    weights, each divided by the root of its degree."""
     if n <= k:
         return np.arange(n)
-    degree = np.maximum(weights.sum(axis=1), 1e-12)
-    root = 1 / np.sqrt(degree)
-    _, vectors = np.linalg.eigh(root[:, None] * weights * root[None, :])
-    return _kmeans(vectors[:, -k:] * root[:, None], k, np.random.default_rng(seed))
+    root = 1 / np.sqrt(np.maximum(np.bincount(a, w, n) + np.bincount(b, w, n), 1e-12))
+    _, vectors = leading_vectors(a, b, w * root[a] * root[b], n, k, seed)
+    return _kmeans(vectors * root[:, None], k, np.random.default_rng(seed))
 
 
-def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, max_nodes: int = 6000) -> DataFrame:
-    """(node, cluster): spectral clustering of the largest component of the undirected edges (src, dst, weight).
+def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, max_nodes: int = 50_000) -> DataFrame:
+    """(node, cluster): spectral clustering of the largest component of the undirected edges (src, dst, weight), each
+    listed once.
 
-    The eigenproblem needs the graph in one task, as does any exact spectral method; the vocabulary bounds it, and
-    beyond ``max_nodes`` nodes a power-iteration embedding over the edges takes its place.
+    The eigenproblem needs the graph in one task, as does any exact spectral method, but only its edges and some
+    hundred vectors; the vocabulary bounds it, and beyond ``max_nodes`` nodes a power-iteration embedding over the
+    edges takes its place.
     """
     giant = cut(giant_component(edges))
     n = giant.count()
@@ -106,11 +149,10 @@ def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, max_node
         return pic.assignClusters(inside.select("src", "dst", "weight")).select(F.col("id").alias("node"), "cluster")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["src", "dst"], kind="stable")
         names, code = np.unique(np.r_[frame["src"], frame["dst"]], return_inverse=True)
-        a, b = code[: len(frame)], code[len(frame) :]
-        w = np.zeros((len(names), len(names)))
-        w[a, b] = w[b, a] = frame["weight"]
-        return pd.DataFrame({"node": names, "cluster": spectral_labels(w, n_clusters, seed).astype(np.int32)})
+        labels = spectral_labels(code[: len(frame)], code[len(frame) :], frame["weight"].to_numpy(float), len(names), n_clusters, seed)
+        return pd.DataFrame({"node": names, "cluster": labels.astype(np.int32)})
 
     return inside.groupBy(F.lit(0).alias("g")).applyInPandas(lambda f: cluster(f), "node long, cluster int")
 
@@ -145,23 +187,78 @@ def smooth_over_time(edges: DataFrame, previous: DataFrame, alpha: float) -> Dat
     return joined.select("src", "dst", mixed.alias("weight"))
 
 
+def estimate_alpha(edges: DataFrame, previous: DataFrame, clusters: DataFrame) -> float:
+    """The share of the past that minimises the expected error of the smoothed weights, by the shrinkage formula of
+    adaptive evolutionary clustering: weights of one block (pair of clusters) are taken as draws of one distribution.
+
+    ``edges`` and ``previous`` are undirected and listed once (src, dst, weight); absent edges weigh 0. Nodes outside
+    ``clusters`` (node, cluster) don't count. 0 where nothing is known of the past.
+    """
+    sizes = {r.cluster: r["count"] for r in clusters.groupBy("cluster").count().collect()}  # as many as clusters were asked for
+
+    def blocks(df: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
+        side = lambda x: clusters.select(F.col("node").alias(x), F.col("cluster").alias(f"c_{x}"))
+        joined = df.join(side("src"), "src").join(side("dst"), "dst")
+        key = [F.least("c_src", "c_dst").alias("a"), F.greatest("c_src", "c_dst").alias("b")]
+        rows = joined.groupBy(*key).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q")).collect()
+        return {(r.a, r.b): (r.s, r.q) for r in rows}
+
+    now, before = blocks(edges), blocks(previous)
+    if not before:
+        return 0.0
+    variance = distance = 0.0
+    for a in sizes:
+        for b in sizes:
+            n = sizes[a] * (sizes[a] - 1) / 2 if a == b else sizes[a] * sizes[b]
+            if a > b or n < 1:
+                continue
+            (s, q), (ps, pq) = now.get((a, b), (0.0, 0.0)), before.get((a, b), (0.0, 0.0))
+            mean = s / n
+            variance += max(q - n * mean * mean, 0.0) / max(n - 1, 1) * n
+            distance += pq - 2 * mean * ps + n * mean * mean
+    return float(variance / (distance + variance)) if distance + variance > 0 else 0.0
+
+
+def eigengap(values: list[float], most: int | None = None) -> int:
+    """The number of clusters after which the falling eigenvalues drop the most."""
+    values = values[: (most or len(values) - 1) + 1]
+    return int(np.argmax(-np.diff(values))) + 1 if len(values) > 1 else 1
+
+
+def evolve_clusters(edges: DataFrame, previous: DataFrame | None, before: DataFrame | None, k: int, alpha: float | None = None, rounds: int = 3) -> tuple[DataFrame, DataFrame, float]:
+    """(smoothed edges, clusters, alpha) of one time step: smoothing and clustering in turn, ``rounds`` times where alpha
+    is estimated; clusters take the numbers of the previous ones that they share most nodes with."""
+    clusters, smoothed, used = before, edges, 0.0
+    for _ in range(rounds if alpha is None and previous is not None else 1):
+        if previous is not None:
+            used = estimate_alpha(edges, previous, clusters) if alpha is None else alpha
+            smoothed = cut(smooth_over_time(edges, previous, used))
+        clusters = cut(spectral_clusters(smoothed, k))
+    if before is not None:
+        pairs = match_clusters(clusters, before).collect()
+        taken = {r.previous for r in pairs if r.previous is not None}
+        free = iter(n for n in range(len(pairs) + len(taken) + 1) if n not in taken)
+        names = {r.cluster: r.previous if r.previous is not None else next(free) for r in pairs}
+        table = edges.sparkSession.createDataFrame(list(names.items()), "cluster int, named int")
+        clusters = clusters.join(F.broadcast(table), "cluster").select("node", F.col("named").alias("cluster"))
+    return smoothed, clusters, used
+
+
 def mean_similarity(slices: DataFrame, time_col: str = "t") -> DataFrame:
     """(src, dst, weight): mean weight over all time slices, absent edges counting 0."""
     n = slices.agg(F.count_distinct(time_col)).first()[0] or 1
     return slices.groupBy("src", "dst").agg((F.sum("weight") / F.lit(float(n))).alias("weight"))
 
 
-def leading_eigenvalues(edges: DataFrame, k: int, max_nodes: int = 6000) -> list[float]:
-    """The largest eigenvalues of the normalised weight matrix of an undirected graph of bounded size, largest first."""
-    frame = edges.toPandas()
+def leading_eigenvalues(edges: DataFrame, k: int, max_edges: int = 5_000_000) -> list[float]:
+    """The largest eigenvalues, falling, of the normalised weights of an undirected graph of bounded size."""
+    frame = edges.select("src", "dst", "weight").limit(max_edges + 1).toPandas()
+    if len(frame) > max_edges:
+        raise ValueError(f"more than {max_edges} edges")
     names, code = np.unique(np.r_[frame["src"], frame["dst"]], return_inverse=True)
-    if len(names) > max_nodes:
-        raise ValueError(f"{len(names)} nodes; at most {max_nodes} can be handled at once")
-    w = np.zeros((len(names), len(names)))
-    a, b = code[: len(frame)], code[len(frame) :]
-    w[a, b] = w[b, a] = frame["weight"]
-    root = 1 / np.sqrt(np.maximum(w.sum(axis=1), 1e-12))
-    return np.sort(np.linalg.eigvalsh(root[:, None] * w * root[None, :]))[::-1][:k].tolist()
+    a, b, w, n = code[: len(frame)], code[len(frame) :], frame["weight"].to_numpy(float), len(names)
+    root = 1 / np.sqrt(np.maximum(np.bincount(a, w, n) + np.bincount(b, w, n), 1e-12))
+    return leading_vectors(a, b, w * root[a] * root[b], n, min(k, n))[0][::-1].tolist()
 
 
 def match_clusters(now: DataFrame, before: DataFrame) -> DataFrame:

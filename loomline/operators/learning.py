@@ -105,6 +105,26 @@ def prox_tree(tree: Tree) -> Prox:
     return prox
 
 
+def tree_from_table(rows: list[tuple[int, int | None, float, list[int]]]) -> Tree:
+    """A tree from (node, parent, weight, own variables): a node's group holds its own and its descendants' variables."""
+    children: dict[int | None, list[int]] = {}
+    node = {n: (weight, own) for n, _, weight, own in rows}
+    for n, parent, _, _ in rows:
+        children.setdefault(parent, []).append(n)
+    groups: list[tuple[tuple[int, ...], float]] = []
+
+    def gather(n: int) -> list[int]:
+        weight, own = node[n]
+        variables = [*own, *(v for c in children.get(n, []) for v in gather(c))]
+        if variables:
+            groups.append((tuple(sorted(variables)), weight))
+        return variables
+
+    for root in children.get(None, []):
+        gather(root)
+    return Tree(tuple(groups))
+
+
 def penalty_l1(w: np.ndarray) -> float:
     return float(np.abs(w).sum())
 
@@ -171,12 +191,13 @@ class Bilinear:
 WEIGHTS = "region int, task string, {item} {type}, {value} double"
 
 
-def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float = 1e-3, epochs: int = 10, tolerance: float = 1e-4, center: bool = True, multitask: bool = False, callback: Callable[[int, DataFrame, DataFrame, DataFrame], None] | None = None) -> Bilinear:
+def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float = 1e-3, epochs: int = 10, tolerance: float = 1e-4, center: bool = True, multitask: bool = False, simple: bool = False, callback: Callable[[int, DataFrame, DataFrame, DataFrame], None] | None = None) -> Bilinear:
     """The bilinear model by region: x (day, region, user, word, x), y (day, task, region, y).
 
     An epoch solves the words' weights with the users' fixed, then each region's user weights and bias with the words'
     fixed. Words are regularised by the groups of ``prox_graph`` in one problem over regions (with ``multitask`` the
-    tasks share one design, else each task has its own contraction), users by their rows' norms. Starts from users of
+    tasks share one design, else each task has its own contraction; with ``simple`` by their absolute values), users by
+    theirs. Starts from users of
     weight 1, stops early when both change no more than ``tolerance``. Missing y are absent rows.
     """
     from loomline.operators.panel import contract_users, contract_words
@@ -197,7 +218,7 @@ def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float =
     bias = None
     for epoch in range(epochs):
         d = contract_users(x, u.where("u <> 0")).toPandas()
-        w_frame = _solve_words(d, target, regions, tasks, lam_w, multitask)
+        w_frame = _solve_words(d, target, regions, tasks, lam_w, multitask, simple)
         w = cut(spark.createDataFrame(w_frame if len(w_frame) else [], w_schema))
         v = contract_words(x, w.where("w <> 0"))
         goal = spark.createDataFrame(target[["day", "region", "task", "c"]], "day int, region int, task string, c double")
@@ -230,7 +251,7 @@ def _norm(new: DataFrame, old: DataFrame | None, item: str, value: str) -> float
     return float(both.agg(F.sqrt(F.sum(d * d))).first()[0] or 0.0)
 
 
-def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: list, lam: float, multitask: bool) -> pd.DataFrame:
+def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: list, lam: float, multitask: bool, simple: bool = False) -> pd.DataFrame:
     """Words' weights of all regions and tasks; the regulariser ties them by word only."""
     words = sorted(d["word"].unique())
     at = {w: i for i, w in enumerate(words)}
@@ -249,7 +270,7 @@ def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: li
     if not words:
         return pd.DataFrame(columns=["region", "task", "word", "w"])
     step = 1 / max(max((np.linalg.norm(m, 2) ** 2 for m, _ in blocks if m.size), default=1.0), 1e-12)
-    prox = prox_graph(shape)
+    prox = prox_l1 if simple else prox_graph(shape)
     z, momentum = cube.copy(), 1.0
     for _ in range(60):
         gradient = np.zeros(shape)

@@ -1,7 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomline.sources import sinks, text
+from loomline.sources import sinks, tables, text
 from loomline.streaming import flows
 
 
@@ -46,8 +46,10 @@ def test_writers(spark, tmp_path):
     assert (tmp_path / "party" / "party=p").exists()
     x = spark.createDataFrame([(1, 0, 5, "w", 1.0), (2, 1, 5, "w", 2.0)], "region int, day int, user long, word string, x double")
     sinks.write_panel(x, str(tmp_path / "x"))
-    back = spark.read.parquet(str(tmp_path / "x")).where("day = 1")
-    assert back.first().x == 2.0 and "PartitionFilters" in back._jdf.queryExecution().toString()
+    back = tables.read_panel(spark, str(tmp_path / "x"), (1, 2), [1, 2])
+    assert back.first().x == 2.0 and "PartitionFilters: [isnotnull(day" in back._jdf.queryExecution().toString()
+    assert tables.read_panel(spark, str(tmp_path / "x"), words=spark.createDataFrame([("v",)], "word string")).count() == 0
+    assert tables.next_index(spark.createDataFrame([(4,)], "idx int")) == 5
     for _ in range(2):
         sinks.append_metrics(spark.createDataFrame([("r", 1, 0.5)], "run string, fold int, value double"), str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2

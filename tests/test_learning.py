@@ -37,6 +37,11 @@ def test_tree_prox():
     brute(L.prox_tree(tree), lambda z: sum(w * np.abs(z[list(g)]).max() for g, w in tree.groups), (3,))
 
 
+def test_tree_from_table():
+    tree = L.tree_from_table([(0, None, 0.5, []), (1, 0, 1.0, [0]), (2, 0, 2.0, [1, 2])])
+    assert tree.groups == (((0,), 1.0), ((1, 2), 2.0), ((0, 1, 2), 0.5))
+
+
 def test_fista_with_missing_and_intercept():
     x = rng.normal(size=(120, 6))
     w = np.array([1.0, 0, -2, 0, 0, 0.5])

@@ -106,6 +106,43 @@ def test_match_clusters(spark):
     assert sorted(graph.match_clusters(now, before).collect()) == [(0, 5), (1, None), (2, None)]
 
 
+def test_estimated_alpha(spark):
+    rng = np.random.default_rng(0)
+    s = "src long, dst long, weight double"
+    clusters = spark.createDataFrame([(i, i // 6) for i in range(12)], "node long, cluster int")
+    draw = lambda: [(i, j, float(np.clip(rng.normal(1.0 if i // 6 == j // 6 else 0.2, 0.1), 0, None))) for i in range(12) for j in range(i + 1, 12)]
+    now = spark.createDataFrame(draw(), s)
+    same, other = spark.createDataFrame(draw(), s), spark.createDataFrame([(i, j, 1.2 - w) for i, j, w in draw()], s)
+    near, far = (graph.estimate_alpha(now, x, clusters) for x in (same, other))
+    assert 0 <= far < 0.2 < near <= 1
+    assert graph.estimate_alpha(now, same.where("false"), clusters) == 0.0
+
+
+def test_evolving_clusters_keep_their_names(spark):
+    s = "src long, dst long, weight double"
+    block = lambda a, b: [(i, j, 1.0) for i in range(a, b) for j in range(i + 1, b)]
+    edges = spark.createDataFrame(block(0, 6) + block(6, 14) + [(5, 6, 0.05)], s)
+    before = spark.createDataFrame([(i, 7 if i < 6 else 3) for i in range(14)], "node long, cluster int")
+    smoothed, clusters, alpha = graph.evolve_clusters(edges, edges, before, 2)
+    assert dict(rows(clusters)) == dict(rows(before)) and 0 <= alpha <= 1 and smoothed.count() == edges.count()
+
+
+def test_leading_vectors_against_dense():
+    rng = np.random.default_rng(2)
+    for n, k in ((40, 5), (300, 12), (3, 3)):
+        m = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.1 if n > 3 else 1), 1)
+        a, b = np.nonzero(m)
+        values, vectors = graph.leading_vectors(a, b, m[a, b], n, k)
+        assert np.allclose(values, np.linalg.eigvalsh(m + m.T)[-k:], atol=1e-6)
+        assert np.allclose((m + m.T) @ vectors, vectors * values, atol=1e-5)
+
+
+def test_eigengap(spark):
+    edges = [(i, j, 1.0) for block in (range(0, 6), range(6, 12), range(12, 18)) for i in block for j in block if i < j] + [(5, 6, 0.01), (11, 12, 0.01)]
+    values = graph.leading_eigenvalues(spark.createDataFrame(edges, "src long, dst long, weight double"), 6)
+    assert graph.eigengap(values) == 3
+
+
 def test_topics(spark):
     clusters = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25), ("z", 0, 1.0), ("low", 3, 1.0)], "word string, cluster int, importance double")
     labels = spark.createDataFrame([(1, 3, "x"), (2, 3, "y z"), (3, 1, "w")], "cluster int, coherence int, label string")
