@@ -54,6 +54,30 @@ def _stripes(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"item": a[starts], "slot": slot[starts].astype(np.int32), "neighbours": np.split(b, starts[1:]), "counts": np.split(n.astype(np.int32), starts[1:])})
 
 
+def _blocks(lists: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of the records, in blocks of bounded size; a very long record comes in several."""
+    short: list[np.ndarray] = []
+    todo = 0
+    for items in lists:
+        n = len(items)
+        if n * (n - 1) // 2 > FLUSH_PAIRS:
+            items = np.sort(items)
+            at = 0
+            while at < n - 1:
+                end = min(n - 1, at + max(1, FLUSH_PAIRS // (n - at)))
+                yield np.repeat(items[at:end], n - 1 - np.arange(at, end)), np.concatenate([items[i + 1 :] for i in range(at, end)])
+                at = end
+            continue
+        short.append(items)
+        todo += n * (n - 1) // 2
+        if todo >= FLUSH_PAIRS:
+            yield _pairs(short)
+            short, todo = [], 0
+    a, b = _pairs(short)
+    if len(a):
+        yield a, b
+
+
 def _local_stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
 
@@ -62,18 +86,9 @@ def _local_stripes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _stripes(*_add_up(a, b, np.concatenate([h[2] for h in held])))
 
     for frame in frames:
-        lists = [np.asarray(x, dtype=np.int64) for x in frame["items"]]
-        at = 0
-        while at < len(lists):  # a block of records at a time, bounded by their pairs
-            end, todo = at, 0
-            while end < len(lists) and (end == at or todo < FLUSH_PAIRS):
-                todo += len(lists[end]) * (len(lists[end]) - 1) // 2
-                end += 1
-            a, b = _pairs(lists[at:end])
-            at = end
-            if len(a):
-                held.append(_add_up(a, b, np.ones(len(a))))
-                size += len(held[-1][0])
+        for a, b in _blocks([np.asarray(x, dtype=np.int64) for x in frame["items"]]):
+            held.append(_add_up(a, b, np.ones(len(a))))
+            size += len(held[-1][0])
             if size >= FLUSH_PAIRS:
                 yield flush()
                 held, size = [], 0

@@ -25,6 +25,7 @@ CHUNK = 64
 #: Buckets of the word-count sketch that orders words from rare to frequent: at most 1 MB whatever the input.
 ORDER_BUCKETS = 1 << 18
 SEED = 20130107
+BLOCK_WORDS = 400_000
 KEYS = "key long, cell long, slot long, at int, n int, lo long, hi long, h0 long, h1 long, h2 long, h3 long"
 
 
@@ -77,8 +78,9 @@ def _prefix_rows(ranks: bytes, threshold: Fraction):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank_of = np.frombuffer(ranks, np.int32)
         for whole in frames:
-            for at in range(0, len(whole), 20_000):
-                frame = whole.iloc[at : at + 20_000]
+            # Blocks of about so many words bound the memory, however long the records are.
+            block = (whole["n"].to_numpy(np.int64).cumsum() - 1) // BLOCK_WORDS
+            for _, frame in whole.groupby(block):
                 sizes = frame["n"].to_numpy(np.int64)
                 flat = np.concatenate([np.asarray(w, dtype=object) for w in frame["words"]])
                 codes, names = pd.factorize(flat)

@@ -203,6 +203,14 @@ def test_stripes_split_and_merge():
     assert sorted(map(tuple, got.to_numpy().tolist())) == [(1, 2, 2), (1, 3, 2), (2, 3, 6)]
 
 
+def test_long_records_come_in_blocks(monkeypatch):
+    monkeypatch.setattr(cooccurrence, "FLUSH_PAIRS", 50)
+    lists = [np.arange(40), np.array([3, 1]), np.array([7]), np.zeros(0, np.int64), np.arange(5)]
+    got = sorted((int(x), int(y)) for a, b in cooccurrence._blocks(lists) for x, y in zip(a, b, strict=True))
+    assert got == sorted((int(x), int(y)) for items in lists for x, y in itertools.combinations(np.sort(items), 2))
+    assert max(len(a) for a, _ in cooccurrence._blocks(lists)) <= 100
+
+
 def test_log_likelihood(spark):
     f = spark.createDataFrame([(10, 20, 30, 1000)], "k long, a long, b long, n long")
     got = f.select(cooccurrence.log_likelihood(F.col("k"), F.col("a"), F.col("b"), F.col("n"))).first()[0]
