@@ -143,8 +143,16 @@ def affect_mean_similarity(spark: SparkSession, d: str) -> DataFrame:
     return graph.mean_similarity(_weekly(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
+def affect_evolve(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the later half, smoothed by the earlier one with an estimated share, under the earlier one's numbers."""
+    weekly = cut(_weekly(spark, d))
+    now, before = (weekly.where(F.col("t") == t).select("src", "dst", "weight") for t in (1, 0))
+    _, first, _ = graph.evolve_clusters(before, None, None, 10)
+    return graph.evolve_clusters(now, before, first, 10)[1]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_mean_similarity)}
+    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_mean_similarity, affect_evolve)}
 
 
 _WORD = f"""with recursive {ONCE}, e as (select ord, unnest({WORDS.format("all_tokens")}) as word from t where all_tokens is not null),
