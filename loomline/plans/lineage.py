@@ -22,13 +22,28 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, over all cores; any other as it is.
+
+    One file of one row group is one task however many cores there are. Only where the table is small does moving it
+    cost less than that; large tables are never moved for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > limit or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
+
+
 def once_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per non-null ``key``; which of several rows stays is not defined (they are redeliveries of one record).
 
     Only the key column is shuffled to find the repeated keys. Rows with other keys never move when the list of
     repeated keys is small enough for the adaptive planner to broadcast it; else it sorts and merges.
     """
-    rows = df.where(F.col(key).isNotNull())
+    rows = spread_small(df.where(F.col(key).isNotNull()))
     repeated = rows.groupBy(key).count().where("count > 1").select(key)
     single = rows.join(repeated, key, "left_anti")
     several = rows.join(repeated, key, "left_semi").dropDuplicates([key])
