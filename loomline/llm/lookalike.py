@@ -130,7 +130,9 @@ def suspects(df: DataFrame, id_col: str = "ord", tokens_col: str = "tokens") ->
     twin = lambda t: t.rlike(ALL_TWIN_CYRILLIC) | t.rlike(ALL_TWIN_LATIN)
     any_cyrillic = F.exists(toks, lambda t: t.rlike("[Ѐ-џ]"))
     wanted = lambda t: t.rlike(SUSPECT) | (any_cyrillic & twin(t))
-    rows = df.select(F.col(id_col), toks.alias("tokens")).where(F.col(id_col).isNotNull())
+    from loomline.plans.lineage import spread_small
+
+    rows = spread_small(df.select(F.col(id_col), toks.alias("tokens")).where(F.col(id_col).isNotNull()))
     rows = rows.where(F.exists("tokens", lambda t: t.rlike(f"{SUSPECT}|{ALL_TWIN_CYRILLIC}")) | F.exists("tokens", lambda t: t.rlike("[Ѐ-џ]")))
     picked = rows.select(id_col, "tokens", F.posexplode("tokens").alias("pos", "token")).where(F.col("token").isNotNull() & wanted(F.col("token")))
     return picked.select(id_col, "pos", "token", F.when(twin(F.col("token")), _context(F.col("tokens"), F.col("pos"))).otherwise("L").alias("ctx")).dropDuplicates([id_col, "pos"])

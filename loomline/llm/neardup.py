@@ -125,10 +125,11 @@ def _word_order(cells: DataFrame) -> bytes:
 def word_cells(df: DataFrame, id_col: str, words: Column, time_col: str, hours: int, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, cells): members (id, t, cell) once per id; cells (cell, slot, n, lo, hi, words) one per distinct
     word set and time slot of ``hours``; ``cell`` is the least id in it."""
-    from loomline.plans.lineage import cut
+    from loomline.plans.lineage import cut, spread_small
 
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    rows = df.select(F.col(id_col).alias("id"), t.alias("t"), F.array_sort(F.array_distinct(F.filter(words, lambda w: w.isNotNull() & (w != "")))).alias("words"))
+    df = spread_small(df.select(id_col, time_col, words.alias("_words")))
+    rows = df.select(F.col(id_col).alias("id"), t.alias("t"), F.array_sort(F.array_distinct(F.filter("_words", lambda w: w.isNotNull() & (w != "")))).alias("words"))
     rows = rows.where(F.col("id").isNotNull() & F.col("t").isNotNull() & (F.size("words") >= min_words))
     rows = rows.select("id", "t", F.floor(F.col("t") / F.lit(hours * 3_600_000_000)).cast("long").alias("slot"), "words", F.unhex(F.md5(F.array_join("words", " "))).alias("sig"))
     cells = rows.groupBy("sig", "slot").agg(F.min("id").alias("cell"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.first("words").alias("words"))
