@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Prox = Callable[[np.ndarray, float], np.ndarray]
@@ -70,16 +71,39 @@ def prox_grid(m: np.ndarray, t_rows: float, t_columns: float, rounds: int = 200,
     return x
 
 
+def _linf_rows(v: np.ndarray, t: float) -> np.ndarray:
+    """``prox_linf`` along the last axis: values are capped at the level above which they add up to ``t``."""
+    if t <= 0:
+        return v
+    a = np.abs(v)
+    level = (np.cumsum(-np.sort(-a, axis=-1), axis=-1) - t) / np.arange(1, v.shape[-1] + 1)
+    return np.sign(v) * np.minimum(a, np.maximum(level.max(axis=-1, keepdims=True), 0))
+
+
+def prox_grids(cube: np.ndarray, t_rows: float, t_columns: float, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """``prox_grid`` of every word of a words x regions x tasks array at once; a word stops when it has settled."""
+    out, at = cube.copy(), np.arange(len(cube))
+    x, p, q = cube.copy(), np.zeros_like(cube), np.zeros_like(cube)
+    for _ in range(rounds):
+        y = _linf_rows(x + p, t_rows)
+        p = x + p - y
+        new = _linf_rows((y + q).swapaxes(1, 2), t_columns).swapaxes(1, 2)
+        q = y + q - new
+        open_ = np.abs(new - x).reshape(len(x), -1).max(axis=1, initial=0) >= tolerance
+        out[at] = new
+        at, x, p, q = at[open_], new[open_], p[open_], q[open_]
+        if not len(at):
+            break
+    return out
+
+
 def prox_graph(shape: tuple[int, int, int], t_tasks: float = 1.0, t_regions: float = 1.0) -> Prox:
     """Weights (words x regions, tasks): groups are all tasks of a (word, region) and all regions of a (word, task).
     No group has cells of two words, so the operator splits by word."""
     words, regions, tasks = shape
 
     def prox(w: np.ndarray, t: float) -> np.ndarray:
-        cube = w.reshape(words, regions, tasks)
-        if not words:
-            return w
-        return np.stack([prox_grid(m, t * t_tasks, t * t_regions) for m in cube]).reshape(w.shape)
+        return prox_grids(w.reshape(words, regions, tasks), t * t_tasks, t * t_regions).reshape(w.shape) if words else w
 
     return prox
 
@@ -188,6 +212,13 @@ class Bilinear:
     history: list[tuple[int, float, float]]  # epoch, size of the change of w and of u
 
 
+def local_table(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFrame:
+    """A table of the driver as a DataFrame, handed over as Arrow whatever the session's settings."""
+    if not len(frame):
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
+
+
 WEIGHTS = "region int, task string, {item} {type}, {value} double"
 
 
@@ -217,9 +248,9 @@ def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float =
     history: list[tuple[int, float, float]] = []
     bias = None
     for epoch in range(epochs):
-        d = contract_users(x, u.where("u <> 0")).toPandas()
+        d = contract_users(x, u.where("u <> 0")).toArrow().to_pandas()
         w_frame = _solve_words(d, target, regions, tasks, lam_w, multitask, simple)
-        w = cut(spark.createDataFrame(w_frame if len(w_frame) else [], w_schema))
+        w = cut(local_table(spark, w_frame, w_schema))
         v = contract_words(x, w.where("w <> 0"))
         goal = spark.createDataFrame(target[["day", "region", "task", "c"]], "day int, region int, task string, c double")
         rows = v.join(goal, ["day", "region", "task"]).select("region", "task", "day", "user", "v", "c")
@@ -257,10 +288,11 @@ def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: li
     at = {w: i for i, w in enumerate(words)}
     shape = (len(words), len(regions), len(tasks))
     blocks = []
+    cells = dict(tuple(d.groupby(["region", "task"])))
     for r in regions:
         for t in tasks:
             y = target[(target["region"] == r) & (target["task"] == t)].sort_values("day")
-            part = d[(d["region"] == r) & ((d["task"] == t) if not multitask else (d["task"] == tasks[0]))]
+            part = cells.get((r, tasks[0] if multitask else t), d.iloc[:0])
             m = np.zeros((len(y), len(words)))
             day = {v: i for i, v in enumerate(y["day"])}
             part = part[part["day"].isin(day)]
@@ -269,7 +301,7 @@ def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: li
     cube = np.zeros(shape)
     if not words:
         return pd.DataFrame(columns=["region", "task", "word", "w"])
-    step = 1 / max(max((np.linalg.norm(m, 2) ** 2 for m, _ in blocks if m.size), default=1.0), 1e-12)
+    step = 1 / max(max((np.linalg.norm(m @ m.T, 2) for m, _ in blocks if m.size), default=1.0), 1e-12)
     prox = prox_l1 if simple else prox_graph(shape)
     z, momentum = cube.copy(), 1.0
     for _ in range(60):
@@ -324,14 +356,14 @@ def fit_flat(x: DataFrame, y: DataFrame, lam_w: float = 1e-3, lam_u: float = 1e-
         goal = goal.set_index("day")["y"].sort_index()
         u = x.select("user").distinct().withColumn("u", F.lit(1.0))
         for _ in range(epochs):
-            d = x.join(u, "user").groupBy("day", "word").agg(F.sum(F.col("x") * F.col("u")).alias("d")).toPandas()
+            d = x.join(u, "user").groupBy("day", "word").agg(F.sum(F.col("x") * F.col("u")).alias("d")).toArrow().to_pandas()
             m, words = _design(d, goal.index, "word", "d")
             w, b = fista(m, goal.to_numpy(float), prox_w, lam_w, intercept=True)
-            weights = spark.createDataFrame(pd.DataFrame({"word": words, "w": w[:, 0]}), f"word {word_type}, w double")
-            v = x.join(weights, "word").groupBy("day", "user").agg(F.sum(F.col("x") * F.col("w")).alias("v")).toPandas()
+            weights = local_table(spark, pd.DataFrame({"word": words, "w": w[:, 0]}), f"word {word_type}, w double")
+            v = x.join(weights, "word").groupBy("day", "user").agg(F.sum(F.col("x") * F.col("w")).alias("v")).toArrow().to_pandas()
             m, users = _design(v, goal.index, "user", "v")
             uw, b = fista(m, goal.to_numpy(float), prox_u, lam_u, intercept=True)
-            u = spark.createDataFrame(pd.DataFrame({"user": users, "u": uw[:, 0]}), f"user {user_type}, u double")
+            u = local_table(spark, pd.DataFrame({"user": users, "u": uw[:, 0]}), f"user {user_type}, u double")
         ws.append(pd.DataFrame({"task": task, "word": words, "w": w[:, 0]}))
         us.append(pd.DataFrame({"task": task, "user": users, "u": uw[:, 0]}))
         bs[task] = float(b[0])

@@ -190,36 +190,28 @@ def prequential(spark: SparkSession, d: str) -> DataFrame:
     return learning.prequential(_design(spark, d).withColumn("series", F.lit("all")), 0.5)
 
 
-def _keyword_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The expanded panel over keywords, users gathered in 40 groups by id so that designs keep their size."""
-    words = read_table(spark, d, "keywords").select(F.trim("keyword").alias("word")).where("word <> ''").distinct()
-    x = panel.keep_words(_expanded(spark, d), words)
-    return x.groupBy("day", "region", (F.col("user") % 40).alias("user"), "word").agg(F.sum("x").alias("x"))
-
-
 def bilinear_region_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Fitted on the keyword panel: the words' weights that aren't zero."""
-    return learning.fit_regions(_keyword_panel(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, epochs=2).w.where("w <> 0")
+    """Fitted on every user with a region and the whole vocabulary: the words' weights that aren't zero."""
+    return learning.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5).w.where("w <> 0")
 
 
 def bilinear_multitask_fit(spark: SparkSession, d: str) -> DataFrame:
-    return learning.fit_regions(_keyword_panel(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, epochs=2, multitask=True).w.where("w <> 0")
+    return learning.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, multitask=True).w.where("w <> 0")
 
 
 def bilinear_flat_fit(spark: SparkSession, d: str) -> DataFrame:
-    x = _keyword_panel(spark, d).groupBy("day", "user", "word").agg(F.sum("x").alias("x"))
     y = _y(spark, d).groupBy("day", "task").agg(F.avg("y").alias("y"))
-    return spark.createDataFrame(learning.fit_flat(x, y, epochs=2)[0], "task string, word string, w double")
+    return learning.local_table(spark, learning.fit_flat(region_flat_sum(spark, d), y)[0], "task string, word string, w double")
 
 
 def panel_experiment(spark: SparkSession, d: str) -> DataFrame:
     """(fold, task, region, sse, ...): the region model fitted on each fold's training days, scored on its test days."""
-    x, y = cut(_keyword_panel(spark, d)), cut(_y(spark, d))
+    x, y = cut(_expanded(spark, d)), cut(_y(spark, d))
     folds = panel.iterator_folds(spark, 24, 0, 14, 2, 5)
     out = None
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         days = lambda part: folds.where((F.col("fold") == fold) & (F.col("part") == part)).select("day")  # noqa: B023, E731
-        model = learning.fit_regions(x.join(days("train"), "day"), y.join(days("train"), "day"), lam_w=0.5, lam_u=0.5, epochs=1)
+        model = learning.fit_regions(x.join(days("train"), "day"), y.join(days("train"), "day"), lam_w=0.5, lam_u=0.5)
         test = y.join(days("test"), "day")
         estimate = panel.predict(x.join(days("test"), "day"), model.w, model.u, model.bias, days("test"))
         scored = panel.errors(test.join(estimate, ["day", "task", "region"]), "task", "region").withColumn("fold", F.lit(fold))

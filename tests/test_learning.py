@@ -100,3 +100,37 @@ def test_flat_fit(spark):
     x, y = L.random_panel(regions=1, days=30, zeros=0.3)
     w, u, b = L.fit_flat(spark.createDataFrame(x.drop(columns="region")), spark.createDataFrame(y.drop(columns="region")), epochs=2)
     assert set(w.task) == set(y.task) and len(b) == 5
+
+
+def test_graph_prox_of_many_words():
+    cube = rng.normal(size=(40, 4, 3))
+    want = np.stack([L.prox_grid(m, 0.4, 0.7) for m in cube])
+    assert np.allclose(L.prox_graph(cube.shape, 0.4, 0.7)(cube.reshape(-1, 3), 1.0).reshape(cube.shape), want, atol=1e-8)
+
+
+def test_registered_fits_take_all_users_words_and_epochs(spark, data, monkeypatch):
+    from loomline.queries import panel as queries
+
+    class Seen(Exception):
+        pass
+
+    def spy(x, y, **options):
+        raise Seen(x, options)
+
+    monkeypatch.setattr(queries.learning, "fit_regions", spy)
+    monkeypatch.setattr(queries.learning, "fit_flat", spy)
+    whole = queries.region_expand(spark, data)
+    flat = whole.groupBy("day", "user", "word").count().count()
+    for name, n in (("bilinear_region_fit", whole.count()), ("bilinear_multitask_fit", whole.count()), ("bilinear_flat_fit", flat), ("panel_experiment", None)):
+        with pytest.raises(Seen) as seen:
+            queries.queries()[name](spark, data)
+        x, options = seen.value.args
+        assert "epochs" not in options
+        assert n is None or x.count() == n
+        words = {r.word for r in x.select("word").distinct().collect()}
+        users = {r.user for r in x.select("user").distinct().collect()}
+        if n is not None:
+            assert words == {r.word for r in whole.select("word").distinct().collect()}
+            assert users == {r.user for r in whole.select("user").distinct().collect()}
+        else:
+            assert max(users) >= 40
