@@ -164,7 +164,13 @@ def associated_pairs(df: DataFrame, id_col: str, items_col: str, min_count: int
     out = named.select(pick("t_a", "t_b").alias("term_a"), pick("t_b", "t_a").alias("term_b"), pick("c_a", "c_b").alias("n_a"), pick("c_b", "c_a").alias("n_b"), "n_ab")
     exact = F.col("n_ab").cast("double") * n >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b")
     out = out.where(exact).withColumn("lift", F.col("n_ab") * n.cast("double") / (F.col("n_a") * F.col("n_b").cast("double")))
-    return out.withColumn("llr", log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n)).where(F.col("llr") >= min_llr)
+    # Exactly at chance the ratio is 0, and rounding may leave it just below.
+    return out.withColumn("llr", F.greatest(log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n), F.lit(0.0))).where(F.col("llr") >= min_llr)
+
+
+def pairs(df: DataFrame) -> DataFrame:
+    """Every pair of terms that share a tweet, whatever its count or lift, with both and the ratio."""
+    return associated_pairs(df, "ord", "tokens", min_count=1, min_lift=0.0, min_llr=0.0)
 
 
 def english(df: DataFrame) -> DataFrame:

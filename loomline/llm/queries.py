@@ -27,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _tweets(neardup.found),
         "p3_groups": _tweets(neardup.groups),
         "p4_found": _tweets(cooccurrence.found),
-        "p4_pairs": _tweets(lambda t: cooccurrence.associated_pairs(t, "ord", "tokens", min_lift=2.0)),
+        "p4_pairs": _tweets(cooccurrence.pairs),
         "p5_found": _tweets(langcrf.found),
         "p5_languages": _tweets(langcrf.languages),
         "p6_pack": _with(packing.pack, "documents", "containers"),

@@ -194,6 +194,19 @@ def test_pairs_against_counting(spark):
     assert cooccurrence.associated_pairs(frame.where("false"), "ord", "tokens").count() == 0
 
 
+def test_registered_pairs_are_all_pairs(spark, tmp_path):
+    lists = [["a", "b"], ["a", "c"], ["d", "b"], ["d", "c"], ["A", "e", "f"], ["a", "e"], ["a"]]
+    spark.createDataFrame(list(enumerate(lists)), "ord long, tokens array<string>").write.parquet(str(tmp_path / "tweets.parquet"))
+    sets, want = [{x.lower() for x in t} for t in lists], {}
+    for s in sets:
+        for p in itertools.combinations(sorted(s), 2):
+            want[p] = want.get(p, 0) + 1
+    got = {(r.term_a, r.term_b): r for r in queries.queries()["p4_pairs"](spark, str(tmp_path)).collect()}
+    assert {p: r.n_ab for p, r in got.items()} == want
+    assert all(r.lift == pytest.approx(r.n_ab * len(sets) / (r.n_a * r.n_b)) and r.llr >= 0 for r in got.values())
+    assert min(r.lift for r in got.values()) < 1
+
+
 def test_stripes_split_and_merge():
     lists = [np.array([1, 2, 3]), np.array([2, 3]), np.array([5]), np.array([3, 2])]
     parts = list(cooccurrence._local_stripes(iter([pd.DataFrame({"items": lists[:2]}), pd.DataFrame({"items": lists[2:]})])))
