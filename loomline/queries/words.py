@@ -121,25 +121,40 @@ def spectral_clusters(spark: SparkSession, d: str) -> DataFrame:
     return inside.join(_vocabulary(spark, d).select(F.col("id").alias("node"), "word"), "node").select("word", "cluster", F.round("importance", 5).alias("importance"))
 
 
-def _weekly(spark: SparkSession, d: str) -> DataFrame:
-    """Word pair counts of two halves of the time span as (t, src, dst, weight)."""
+def _weekly(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
+    """Word pair counts of two halves of the time span as (t, src, dst, weight), pairs of ``least`` messages or more."""
     vocab = cut(_vocabulary(spark, d))
     rows = messages(spark, d, "analysis", "posted_at").where("analysis.tokens.all is not null")
     out = None
     for t, part in enumerate((rows.where("posted_at < timestamp'2013-01-19'"), rows.where("posted_at >= timestamp'2013-01-19'"))):
-        pairs = counts.pair_counts(counts.to_ids(part, "ord", counts.distinct_words(F.col("analysis.tokens.all")), vocab)).where("cnt >= 5")
+        pairs = counts.pair_counts(counts.to_ids(part, "ord", counts.distinct_words(F.col("analysis.tokens.all")), vocab)).where(F.col("cnt") >= least)
         one = pairs.select(F.lit(t).alias("t"), F.col("i").alias("src"), F.col("j").alias("dst"), F.col("cnt").cast("double").alias("weight"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def affect_smooth(spark: SparkSession, d: str) -> DataFrame:
-    weekly = cut(_weekly(spark, d))
+def _smooth(weekly: DataFrame) -> DataFrame:
     now, before = (weekly.where(F.col("t") == t).select("src", "dst", "weight") for t in (1, 0))
     return graph.smooth_over_time(now, before, 0.3).withColumn("weight", F.round("weight", 6))
 
 
+def affect_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pairs with five common messages or more in a half, as its SQL says."""
+    return _smooth(cut(_weekly(spark, d, 5)))
+
+
+def affect_smooth_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every pair."""
+    return _smooth(cut(_weekly(spark, d)))
+
+
 def affect_mean_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pairs with five common messages or more in a half, as its SQL says."""
+    return graph.mean_similarity(_weekly(spark, d, 5)).withColumn("weight", F.round("weight", 6))
+
+
+def affect_mean_similarity_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of every pair."""
     return graph.mean_similarity(_weekly(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
@@ -152,7 +167,7 @@ def affect_evolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_mean_similarity, affect_evolve)}
+    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_smooth_all, affect_mean_similarity, affect_mean_similarity_all, affect_evolve)}
 
 
 _WORD = f"""with recursive {ONCE}, e as (select ord, unnest({WORDS.format("all_tokens")}) as word from t where all_tokens is not null),

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -158,3 +159,21 @@ def test_polls(spark):
     msgs = spark.createDataFrame([("d1", ["Tax", "tax", "good", "bad"]), ("d1", None), ("d2", ["bad"])], "day string, t array<string>")
     got = {(r.day, r.party): (r.pos, r.neg, r.ratio) for r in polls.poll_sentiment(msgs, kw, "day", "t").collect()}
     assert got == {("d1", "p"): (6, 2, 7 / 3), ("d1", "q"): (6, 2, 7 / 3), ("d2", "p"): (0, 0, 1.0), ("d2", "q"): (0, 0, 1.0)}
+
+
+def test_affect_takes_rare_pairs(spark, monkeypatch):
+    from loomline.queries import words as queries
+
+    s = "ord long, posted_at timestamp_ntz, analysis struct<tokens: struct<all: array<string>>>"
+    days = [dt.datetime(2013, 1, 8)] * 4 + [dt.datetime(2013, 1, 22)] * 20
+    rows_ = [(i, t, ((["a", "b"],),)) for i, t in enumerate(days)] + [(24, days[-1], ((["a", "c"],),))]
+    frame = spark.createDataFrame(rows_, s).withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    monkeypatch.setattr(queries, "messages", lambda spark, d, *columns: frame)
+    monkeypatch.setattr(queries, "_vocabulary", lambda spark, d: spark.createDataFrame([(1, "a", 25), (2, "b", 24), (3, "c", 1)], "id int, word string, cnt long"))
+    registered = queries.queries()
+    assert rows(registered["affect_mean_similarity_all"](spark, "")) == [(1, 2, 12.0), (1, 3, 0.5)]
+    assert rows(registered["affect_smooth_all"](spark, "")) == [(1, 2, 15.2), (1, 3, 1.0)]
+    seen = []
+    monkeypatch.setattr(queries.graph, "evolve_clusters", lambda edges, *rest: seen.append(edges) or (edges, edges, 0.0))
+    registered["affect_evolve"](spark, "")
+    assert [rows(e) for e in seen] == [[(1, 2, 4.0)], [(1, 2, 20.0), (1, 3, 1.0)]]
