@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,7 +93,11 @@ def leading_vectors(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int,
     and (b, a): Lanczos steps with full reorthogonalisation, more of them until the residuals are small."""
     order = np.argsort(np.r_[a, b], kind="stable")
     row, col, val = np.r_[a, b][order], np.r_[b, a][order], np.r_[w, w][order]
-    times = lambda v: np.bincount(row, weights=val * v[col], minlength=n)
+    return lanczos(lambda v: np.bincount(row, weights=val * v[col], minlength=n), n, k, seed, tolerance)
+
+
+def lanczos(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int = 0, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """``leading_vectors`` of the symmetric matrix that ``times`` multiplies a vector by."""
     q = np.random.default_rng(seed).normal(size=n)
     basis, alpha, beta = [q / np.linalg.norm(q)], [], []
     goal = min(n, max(4 * k, 120))
@@ -131,22 +137,59 @@ def spectral_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int,
     return _kmeans(vectors * root[:, None], k, np.random.default_rng(seed))
 
 
-def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, max_nodes: int = 50_000) -> DataFrame:
+def _spread_labels(edges: DataFrame, nodes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``spectral_labels`` with the edges left where they are: a product is one pass over them, and only vectors of the
+    nodes go to the tasks and come back."""
+    n, context = len(nodes), edges.sparkSession.sparkContext
+    if n <= k:
+        return np.arange(n)
+    names = context.broadcast(nodes)
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"a": np.searchsorted(names.value, f["src"]), "b": np.searchsorted(names.value, f["dst"]), "w": f["weight"].astype(float)})
+
+    # As many pieces as cores: each hands back one vector a product.
+    coded = cut(edges.select("src", "dst", "weight").coalesce(context.defaultParallelism).mapInPandas(code, "a long, b long, w double"))
+
+    def product(v: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(v)
+
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, total = sent.value, np.zeros(n)
+            for f in frames:
+                a, b, w = (f[c].to_numpy() for c in ("a", "b", "w"))
+                total += np.bincount(a, w * x[b], n) + np.bincount(b, w * x[a], n)
+            yield pd.DataFrame({"total": [total.tobytes()]})
+
+        total = np.zeros(n)
+        for r in coded.mapInPandas(part, "total binary").collect():
+            total += np.frombuffer(bytes(r.total))
+        sent.destroy()
+        return total
+
+    root = 1 / np.sqrt(np.maximum(product(np.ones(n)), 1e-12))
+    _, vectors = lanczos(lambda v: root * product(root * v), n, k, seed)
+    return _kmeans(vectors * root[:, None], k, np.random.default_rng(seed))
+
+
+def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, local_edges: int = 4_000_000) -> DataFrame:
     """(node, cluster): spectral clustering of the largest component of the undirected edges (src, dst, weight), each
     listed once.
 
-    The eigenproblem needs the graph in one task, as does any exact spectral method, but only its edges and some
-    hundred vectors; the vocabulary bounds it, and beyond ``max_nodes`` nodes a power-iteration embedding over the
-    edges takes its place.
+    The method is the same at every size. Up to ``local_edges`` edges one task holds them; more stay spread, and each
+    product of the eigenproblem is a pass over them. Some hundred vectors of the nodes are held in one place, which
+    the vocabulary bounds.
     """
     giant = cut(giant_component(edges))
-    n = giant.count()
     inside = edges.join(giant.select(F.col("node").alias("src")), "src", "left_semi")
-    if n > max_nodes:
-        from pyspark.ml.clustering import PowerIterationClustering
+    if (inside := cut(inside)).count() > local_edges:
+        import pyarrow as pa
 
-        pic = PowerIterationClustering(k=n_clusters, maxIter=30, initMode="degree", weightCol="weight")
-        return pic.assignClusters(inside.select("src", "dst", "weight")).select(F.col("id").alias("node"), "cluster")
+        nodes = np.sort(giant.toArrow()["node"].to_numpy())
+        labels = _spread_labels(inside, nodes, n_clusters, seed)
+        table = pa.table({"node": nodes.astype(np.int64), "cluster": labels.astype(np.int32)})
+        return edges.sparkSession.createDataFrame(table, "node long, cluster int")
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["src", "dst"], kind="stable")

@@ -177,3 +177,19 @@ def test_affect_takes_rare_pairs(spark, monkeypatch):
     monkeypatch.setattr(queries.graph, "evolve_clusters", lambda edges, *rest: seen.append(edges) or (edges, edges, 0.0))
     registered["affect_evolve"](spark, "")
     assert [rows(e) for e in seen] == [[(1, 2, 4.0)], [(1, 2, 20.0), (1, 3, 1.0)]]
+
+
+def test_spectral_is_the_same_method_at_any_size(spark):
+    """Two stars, together larger than the former switch to power iteration, with one weak edge between their hubs."""
+    n = 25_100
+    leaves = spark.range(2, 2 + 2 * n).select((F.col("id") % 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    edges = leaves.unionByName(spark.createDataFrame([(0, 1, 0.01)], leaves.schema))
+    got = graph.spectral_clusters(edges, 2).withColumn("star", F.col("node") % 2).groupBy("star", "cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [n + 1, n + 1]
+
+
+def test_spectral_of_spread_edges(spark):
+    edges = [(a, b, 1.0 + (a * b) % 3) for block in (range(0, 8), range(20, 30), range(40, 46)) for a in block for b in block if a < b] + [(7, 20, 0.01), (29, 40, 0.01)]
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(2)
+    parts = [{frozenset(n for n, c in got if c == k) for k in range(3)} for got in (rows(graph.spectral_clusters(frame, 3, local_edges=m)) for m in (0, 1000))]
+    assert parts[0] == parts[1] == {frozenset(range(0, 8)), frozenset(range(20, 30)), frozenset(range(40, 46))}
