@@ -16,7 +16,7 @@ EMOTICONS = (
     r"D:<|D:|D8|D;|D=|DX|v.v|D-':|>;\]|;-\)|;\)|\*-\)|\*\)|;-\]|;\]|;D|;^\)|>:P|:-P|:P|X-P|x-p|xp|XP|:-p|:p|=p|:-b|:b|>:o|>:O|:-O|:O|:0|o_O|o_0|o.O|8-0|>:\\|>:/|:-/|:-.|:/|:\\|=/|=\\|"
     r":S|:\||:-\||>:X|:-X|:X|:-#|:#|:$|O:-\)|0:-3|0:3|O:-\)|O:\)|0;^\)|>:\)|>;\)|>:-\)|:'-\(|:'\(|:'-\)|:'\)|;\)\)|;;\)|<3|8-}|>:D<|=\)\)|=\(\(|x\(|X\(|:-\*|:\*|:\">|~X\(|:-?"
 )
-MARKS = "['\"“”‘’.?!,:;]"
+MARKS = "['\"“.?!,:;]"
 ENTITY = "&(?:amp|lt|gt|quot);"
 DOMAINS = r"(?:com|co\.uk|org|net|info|ca)"
 URL = rf"\b(?:(?:https?://|www\.)|[a-z0-9.-]+?\.{DOMAINS}(?=[/ \W]))[^ \t\r\n<>]*?(?=(?:(?:{MARKS}|{ENTITY})+?)?(?:\.\.+|[<>]|\s|$))"
@@ -43,8 +43,9 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def tokenise(text: str) -> list[tuple[str, int]]:
-    """(token, offset) of a message; offsets are into its text with white space squeezed.
+def tokenise(text: str) -> list[tuple[str, int | None]]:
+    """(token, offset) of a message; offsets are into its text with white space squeezed, None for a token that holds a
+    blank set in at a quote and so doesn't stand in the text.
 
     Quotes and brackets at the edges of words are set apart. Protected spans stay whole; what lies between is split at
     white space; a closing 's is split off its word.
@@ -63,9 +64,9 @@ def tokenise(text: str) -> list[tuple[str, int]]:
         for token in parts.groups() if parts else (piece,):
             if not token.strip():
                 continue
-            at = max(plain.find(token, at), at)
-            out.append((token, at))
-            at += len(token)
+            found = plain.find(token, at)
+            out.append((token, found if found >= 0 else None))
+            at = found + len(token) if found >= 0 else at
     return out
 
 

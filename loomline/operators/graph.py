@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.plans.lineage import cut
+from loomline.plans.lineage import cut, release
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -42,7 +42,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, last = cut(small), state
+        done, edges, last = edges, cut(small), state
+        release(done)
         state = mark(edges)
         if state == last:
             break

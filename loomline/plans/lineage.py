@@ -1,19 +1,32 @@
-"""Plan-level helpers: cutting lineage, keeping one row per key, finding heavy keys."""
+"""Plan-level helpers: cutting lineage, keeping one row per key, dense ids, bounded samples."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def local_folder() -> str:
+    """A folder of this process that goes with it; for sessions that run in one process only."""
+    folder = tempfile.mkdtemp(prefix="loomline-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests) make one."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    folder of its own; a cluster's executors couldn't read that one, so there it is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or local_folder())
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -22,6 +35,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` returned and that nothing reads any more."""
+    held = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if held.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
     """A small table that lies in fewer files than there are cores, over all cores; any other as it is.
 
@@ -40,14 +61,10 @@ def spread_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
 def once_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per non-null ``key``; which of several rows stays is not defined (they are redeliveries of one record).
 
-    Only the key column is shuffled to find the repeated keys. Rows with other keys never move when the list of
-    repeated keys is small enough for the adaptive planner to broadcast it; else it sorts and merges.
+    One scan and one shuffle of the selected columns; rows of one key are folded before the shuffle, so that a key that
+    comes very often sends one row a task.
     """
-    rows = spread_small(df.where(F.col(key).isNotNull()))
-    repeated = rows.groupBy(key).count().where("count > 1").select(key)
-    single = rows.join(repeated, key, "left_anti")
-    several = rows.join(repeated, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(several)
+    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:

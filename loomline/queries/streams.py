@@ -39,7 +39,7 @@ def stream_word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the messages that aren't retweets, each once."""
-    return flows.run_available(flows.first_by_key(flows.table_stream(spark, f"{d}/tweets.parquet"), "60 days")).select("key").distinct()
+    return flows.run_available(flows.first_by_key(flows.table_stream(spark, f"{d}/tweets.parquet"))).select("key")
 
 
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -10,65 +10,76 @@ from loomline.plans.lineage import cut
 from loomline.queries.common import NEIGHBOURS, NPMI_MIN, ONCE, VOCABULARY_MIN, WORDS, messages
 
 
-def _frequencies(spark: SparkSession, d: str) -> DataFrame:
-    rows = messages(spark, d, "analysis").where("analysis.tokens.all is not null")
-    return counts.document_frequency(rows, counts.distinct_words(F.col("analysis.tokens.all")))
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, posted_at, words) with the distinct words of each message once."""
+    rows = messages(spark, d, "analysis", "posted_at").where("analysis.tokens.all is not null")
+    return rows.select("ord", "posted_at", counts.distinct_words(F.col("analysis.tokens.all")).alias("words"))
 
 
-def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return counts.vocabulary(_frequencies(spark, d), VOCABULARY_MIN)
+def _frequencies(lists: DataFrame) -> DataFrame:
+    return counts.document_frequency(lists, F.col("words"))
 
 
-def _records(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
-    rows = messages(spark, d, "analysis").where("analysis.tokens.all is not null")
-    return counts.to_ids(rows, "ord", counts.distinct_words(F.col("analysis.tokens.all")), vocab)
+def _vocabulary(lists: DataFrame) -> DataFrame:
+    return counts.vocabulary(_frequencies(lists), VOCABULARY_MIN)
+
 
+def _records(lists: DataFrame, vocab: DataFrame) -> DataFrame:
+    return counts.to_ids(lists, "ord", F.col("words"), vocab)
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    vocab = cut(_vocabulary(spark, d))
-    pairs = cut(counts.pair_counts(_records(spark, d, vocab)))
-    return counts.npmi(pairs, vocab).withColumn("npmi", F.round("npmi", 6))
 
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(edges with NPMI, vocabulary). The messages are made distinct once for both."""
+    lists = cut(_lists(spark, d).select("ord", "words"))
+    vocab = cut(_vocabulary(lists))
+    pairs = cut(counts.pair_counts(_records(lists, vocab)))
+    return counts.npmi(pairs, vocab).withColumn("npmi", F.round("npmi", 6)), vocab
 
-def _symmetric(spark: SparkSession, d: str) -> DataFrame:
-    return counts.symmetrise(counts.truncate(_edges(spark, d), NPMI_MIN))
 
+def _symmetric(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges, vocab = _edges(spark, d)
+    return counts.symmetrise(counts.truncate(edges, NPMI_MIN)), vocab
 
-def _mutual(spark: SparkSession, d: str) -> DataFrame:
-    return graph.mutual(graph.nearest(cut(_symmetric(spark, d)), NEIGHBOURS))
+
+def _mutual(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(mutual edges, vocabulary), the edges cut."""
+    edges, vocab = _symmetric(spark, d)
+    return cut(graph.mutual(graph.nearest(edges, NEIGHBOURS))), vocab
 
 
 def word_df(spark: SparkSession, d: str) -> DataFrame:
-    return _frequencies(spark, d)
+    return _frequencies(_lists(spark, d))
 
 
 def vocab_index(spark: SparkSession, d: str) -> DataFrame:
-    return _vocabulary(spark, d)
+    return _vocabulary(_lists(spark, d))
 
 
 def dict_df(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d, _vocabulary(spark, d))
+    lists = cut(_lists(spark, d).select("ord", "words"))
+    records = _records(lists, _vocabulary(lists))
     return records.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cooc_counts(spark: SparkSession, d: str) -> DataFrame:
-    return counts.pair_counts(_records(spark, d, cut(_vocabulary(spark, d))))
+    lists = cut(_lists(spark, d).select("ord", "words"))
+    return counts.pair_counts(_records(lists, cut(_vocabulary(lists))))
 
 
 def npmi_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d)
+    return _edges(spark, d)[0]
 
 
 def npmi_truncated_sym(spark: SparkSession, d: str) -> DataFrame:
-    return _symmetric(spark, d)
+    return _symmetric(spark, d)[0]
 
 
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nearest(_symmetric(spark, d), NEIGHBOURS)
+    return graph.nearest(_symmetric(spark, d)[0], NEIGHBOURS)
 
 
 def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
-    return _mutual(spark, d)
+    return graph.mutual(graph.nearest(_symmetric(spark, d)[0], NEIGHBOURS))
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -77,26 +88,28 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def word_components(spark: SparkSession, d: str) -> DataFrame:
-    return _roots(cut(_mutual(spark, d)))
+    return _roots(_mutual(spark, d)[0])
 
 
 def giant_component(spark: SparkSession, d: str) -> DataFrame:
-    return graph.giant_component(cut(_mutual(spark, d)))
+    return graph.giant_component(_mutual(spark, d)[0])
 
 
-def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = cut(_mutual(spark, d))
-    return edges, cut(_roots(edges).select("node", F.col("root").alias("cluster")))
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mutual edges, components as clusters, vocabulary)."""
+    edges, vocab = _mutual(spark, d)
+    return edges, cut(_roots(edges).select("node", F.col("root").alias("cluster"))), vocab
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """(word, cluster, importance) with components as clusters."""
-    words = graph.centrality(*_clusters(spark, d)).join(_vocabulary(spark, d).select(F.col("id").alias("node"), "word"), "node")
+    edges, clusters, vocab = _clusters(spark, d)
+    words = graph.centrality(edges, clusters).join(vocab.select(F.col("id").alias("node"), "word"), "node")
     return words.select("word", "cluster", F.round("importance", 8).alias("importance"))
 
 
 def cluster_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return graph.centrality(*_clusters(spark, d)).withColumn("importance", F.round("importance", 6))
+    return graph.centrality(*_clusters(spark, d)[:2]).withColumn("importance", F.round("importance", 6))
 
 
 def cluster_top_words(spark: SparkSession, d: str) -> DataFrame:
@@ -115,46 +128,30 @@ def topic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spectral_clusters(spark: SparkSession, d: str) -> DataFrame:
-    edges = cut(_mutual(spark, d))
-    clusters = graph.spectral_clusters(edges, 30)
-    inside = graph.centrality(edges, cut(clusters))
-    return inside.join(_vocabulary(spark, d).select(F.col("id").alias("node"), "word"), "node").select("word", "cluster", F.round("importance", 5).alias("importance"))
+    edges, vocab = _mutual(spark, d)
+    inside = graph.centrality(edges, cut(graph.spectral_clusters(edges, 30)))
+    return inside.join(vocab.select(F.col("id").alias("node"), "word"), "node").select("word", "cluster", F.round("importance", 5).alias("importance"))
 
 
-def _weekly(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
-    """Word pair counts of two halves of the time span as (t, src, dst, weight), pairs of ``least`` messages or more."""
-    vocab = cut(_vocabulary(spark, d))
-    rows = messages(spark, d, "analysis", "posted_at").where("analysis.tokens.all is not null")
+def _weekly(spark: SparkSession, d: str) -> DataFrame:
+    """Word pair counts of two halves of the time span as (t, src, dst, weight), every pair."""
+    lists = cut(_lists(spark, d))
+    vocab = cut(_vocabulary(lists))
     out = None
-    for t, part in enumerate((rows.where("posted_at < timestamp'2013-01-19'"), rows.where("posted_at >= timestamp'2013-01-19'"))):
-        pairs = counts.pair_counts(counts.to_ids(part, "ord", counts.distinct_words(F.col("analysis.tokens.all")), vocab)).where(F.col("cnt") >= least)
+    for t, part in enumerate((lists.where("posted_at < timestamp'2013-01-19'"), lists.where("posted_at >= timestamp'2013-01-19'"))):
+        pairs = counts.pair_counts(_records(part, vocab))
         one = pairs.select(F.lit(t).alias("t"), F.col("i").alias("src"), F.col("j").alias("dst"), F.col("cnt").cast("double").alias("weight"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _smooth(weekly: DataFrame) -> DataFrame:
+def affect_smooth(spark: SparkSession, d: str) -> DataFrame:
+    weekly = cut(_weekly(spark, d))
     now, before = (weekly.where(F.col("t") == t).select("src", "dst", "weight") for t in (1, 0))
     return graph.smooth_over_time(now, before, 0.3).withColumn("weight", F.round("weight", 6))
 
 
-def affect_smooth(spark: SparkSession, d: str) -> DataFrame:
-    """Of the pairs with five common messages or more in a half, as its SQL says."""
-    return _smooth(cut(_weekly(spark, d, 5)))
-
-
-def affect_smooth_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of every pair."""
-    return _smooth(cut(_weekly(spark, d)))
-
-
 def affect_mean_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Of the pairs with five common messages or more in a half, as its SQL says."""
-    return graph.mean_similarity(_weekly(spark, d, 5)).withColumn("weight", F.round("weight", 6))
-
-
-def affect_mean_similarity_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of every pair."""
     return graph.mean_similarity(_weekly(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
@@ -167,7 +164,7 @@ def affect_evolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_smooth_all, affect_mean_similarity, affect_mean_similarity_all, affect_evolve)}
+    return {f.__name__: f for f in (word_df, vocab_index, dict_df, cooc_counts, npmi_edges, npmi_truncated_sym, knn_topk, mutual_knn, word_components, giant_component, cluster_centrality, cluster_top_words, word_cluster_lookup, topic_scores, spectral_clusters, affect_smooth, affect_mean_similarity, affect_evolve)}
 
 
 _WORD = f"""with recursive {ONCE}, e as (select ord, unnest({WORDS.format("all_tokens")}) as word from t where all_tokens is not null),
@@ -190,7 +187,7 @@ z as (select c.node, c.root as cluster, coalesce(n.w, 0) as w from c left join n
 i as (select node, cluster, w / nullif(sum(w) over (partition by cluster), 0) as importance from z),
 y as (select v.word, i.cluster, round(coalesce(i.importance, 0), 8) as importance from i join v on v.id = i.node)"""
 _HALVES = _WORD + """, q as (select r.ord, r.id, case when posted_at < timestamp '2013-01-19' then 0 else 1 end as t from r join t using (ord) where posted_at is not null),
-p as (select a.t, a.id as src, b.id as dst, count(*)::double as weight from q a join q b on a.ord = b.ord and a.id < b.id group by a.t, a.id, b.id having count(*) >= 5)"""
+p as (select a.t, a.id as src, b.id as dst, count(*)::double as weight from q a join q b on a.ord = b.ord and a.id < b.id group by a.t, a.id, b.id)"""
 
 
 def oracle_sql() -> dict[str, str]:

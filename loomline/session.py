@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from loomline.plans.lineage import local_folder
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -19,6 +22,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
     """A local session for tests and measurements."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", memory)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if SparkSession.getActiveSession() is None:
+        builder = builder.config("spark.checkpoint.dir", local_folder())
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

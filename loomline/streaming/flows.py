@@ -35,7 +35,8 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = work_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
+        # A batch that comes again after a failure replaces itself.
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/_batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()

@@ -169,10 +169,10 @@ def test_affect_takes_rare_pairs(spark, monkeypatch):
     rows_ = [(i, t, ((["a", "b"],),)) for i, t in enumerate(days)] + [(24, days[-1], ((["a", "c"],),))]
     frame = spark.createDataFrame(rows_, s).withColumn("posted_at", F.col("posted_at").cast("timestamp"))
     monkeypatch.setattr(queries, "messages", lambda spark, d, *columns: frame)
-    monkeypatch.setattr(queries, "_vocabulary", lambda spark, d: spark.createDataFrame([(1, "a", 25), (2, "b", 24), (3, "c", 1)], "id int, word string, cnt long"))
+    monkeypatch.setattr(queries, "_vocabulary", lambda lists: spark.createDataFrame([(1, "a", 25), (2, "b", 24), (3, "c", 1)], "id int, word string, cnt long"))
     registered = queries.queries()
-    assert rows(registered["affect_mean_similarity_all"](spark, "")) == [(1, 2, 12.0), (1, 3, 0.5)]
-    assert rows(registered["affect_smooth_all"](spark, "")) == [(1, 2, 15.2), (1, 3, 1.0)]
+    assert rows(registered["affect_mean_similarity"](spark, "")) == [(1, 2, 12.0), (1, 3, 0.5)]
+    assert rows(registered["affect_smooth"](spark, "")) == [(1, 2, 15.2), (1, 3, 1.0)]
     seen = []
     monkeypatch.setattr(queries.graph, "evolve_clusters", lambda edges, *rest: seen.append(edges) or (edges, edges, 0.0))
     registered["affect_evolve"](spark, "")
