@@ -1,7 +1,6 @@
-"""Sparse bilinear regression Y ~ u'Xw + b: proximal operators, an accelerated solver, learners and searches.
+"""Proximal operators, an accelerated solver for designs that one place can hold, and generators of panels.
 
-Sums over rows (X w, X u) are Spark aggregations; what is left to solve has the size of the weights. Regularisers are
-of the form psi below, objective 1/2 ||Y - X W||^2 + lambda psi(W), missing entries of Y left out.
+Objective 1/2 ||Y - X W||^2 + lambda psi(W), missing entries of Y left out. Fits of any size are in ``bilinear``.
 """
 
 from __future__ import annotations
@@ -11,9 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Prox = Callable[[np.ndarray, float], np.ndarray]
 
@@ -97,13 +93,13 @@ def prox_grids(cube: np.ndarray, t_rows: float, t_columns: float, rounds: int =
     return out
 
 
-def prox_graph(shape: tuple[int, int, int], t_tasks: float = 1.0, t_regions: float = 1.0) -> Prox:
-    """Weights (words x regions, tasks): groups are all tasks of a (word, region) and all regions of a (word, task).
-    No group has cells of two words, so the operator splits by word."""
+def prox_graph(shape: tuple[int, int, int], t_tasks: float = 1.0, t_regions: float = 1.0, ridge: float = 0.0) -> Prox:
+    """Weights (words x regions, tasks): groups are all tasks of a (word, region) and all regions of a (word, task);
+    ``ridge`` adds half the squares times it. No group has cells of two words, so the operator splits by word."""
     words, regions, tasks = shape
 
     def prox(w: np.ndarray, t: float) -> np.ndarray:
-        return prox_grids(w.reshape(words, regions, tasks), t * t_tasks, t * t_regions).reshape(w.shape) if words else w
+        return prox_grids(w.reshape(words, regions, tasks), t * t_tasks, t * t_regions).reshape(w.shape) / (1 + t * ridge) if words else w
 
     return prox
 
@@ -157,6 +153,11 @@ def penalty_l1l2(w: np.ndarray) -> float:
     return float(np.sqrt((w * w).sum(axis=1)).sum())
 
 
+def prox_multitask(shape: tuple[int, int, int], ridge: float = 0.0) -> Prox:
+    """Weights (words x regions, tasks): absolute values, and maxima over the tasks of a (word, region)."""
+    return lambda w, t: _linf_rows(prox_l1(w, t), t) / (1 + t * ridge)
+
+
 def penalty_graph(w: np.ndarray, shape: tuple[int, int, int]) -> float:
     cube = np.abs(w.reshape(shape))
     return float(cube.max(axis=2).sum() + cube.max(axis=1).sum())
@@ -195,241 +196,6 @@ def fista(x: np.ndarray, y: np.ndarray, prox: Prox, lam: float, intercept: bool
     return (w[:-1], w[-1]) if intercept else (w, np.zeros(y.shape[1]))
 
 
-def wide(frame: pd.DataFrame, index: list[str], column: str, value: str) -> tuple[np.ndarray, pd.MultiIndex | pd.Index, list]:
-    """A dense matrix of the summed values, with its row and column names."""
-    table = frame.pivot_table(index=index, columns=column, values=value, aggfunc="sum", fill_value=0.0)
-    return table.to_numpy(float), table.index, list(table.columns)
-
-
-@dataclass
-class Bilinear:
-    """u[region, task, user], w[region, task, word] and bias[region, task] as long tables."""
-
-    w: DataFrame
-    u: DataFrame
-    bias: DataFrame
-    epochs: int
-    history: list[tuple[int, float, float]]  # epoch, size of the change of w and of u
-
-
-def local_table(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFrame:
-    """A table of the driver as a DataFrame, handed over as Arrow whatever the session's settings."""
-    if not len(frame):
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
-
-
-WEIGHTS = "region int, task string, {item} {type}, {value} double"
-
-
-def fit_regions(x: DataFrame, y: DataFrame, lam_w: float = 1e-4, lam_u: float = 1e-3, epochs: int = 10, tolerance: float = 1e-4, center: bool = True, multitask: bool = False, simple: bool = False, callback: Callable[[int, DataFrame, DataFrame, DataFrame], None] | None = None) -> Bilinear:
-    """The bilinear model by region: x (day, region, user, word, x), y (day, task, region, y).
-
-    An epoch solves the words' weights with the users' fixed, then each region's user weights and bias with the words'
-    fixed. Words are regularised by the groups of ``prox_graph`` in one problem over regions (with ``multitask`` the
-    tasks share one design, else each task has its own contraction; with ``simple`` by their absolute values), users by
-    theirs. Starts from users of
-    weight 1, stops early when both change no more than ``tolerance``. Missing y are absent rows.
-    """
-    from loomline.operators.panel import contract_users, contract_words
-    from loomline.plans.lineage import cut
-
-    spark = x.sparkSession
-    x = cut(x.where("x is not null and region is not null").groupBy("day", "region", "user", "word").agg(F.sum("x").cast("double").alias("x")))
-    target = y.where("y is not null").toPandas()  # one number a day, task and region
-    tasks, regions = sorted(target["task"].unique()), sorted(target["region"].unique())
-    mean = target.groupby(["region", "task"])["y"].transform("mean") if center else 0.0
-    target = target.assign(c=target["y"] - mean)
-    means = target.assign(m=mean).groupby(["region", "task"], as_index=False)["m"].mean()
-    u = _every(x.select("region", "user").distinct(), tasks).select("region", "task", "user", F.lit(1.0).alias("u"))
-    word_type, user_type = dict(x.dtypes)["word"], dict(x.dtypes)["user"]
-    w_schema, u_schema = WEIGHTS.format(item="word", type=word_type, value="w"), WEIGHTS.format(item="user", type=user_type, value="u")
-    old_w, old_u = None, None
-    history: list[tuple[int, float, float]] = []
-    bias = None
-    for epoch in range(epochs):
-        d = contract_users(x, u.where("u <> 0")).toArrow().to_pandas()
-        w_frame = _solve_words(d, target, regions, tasks, lam_w, multitask, simple)
-        w = cut(local_table(spark, w_frame, w_schema))
-        v = contract_words(x, w.where("w <> 0"))
-        goal = spark.createDataFrame(target[["day", "region", "task", "c"]], "day int, region int, task string, c double")
-        rows = v.join(goal, ["day", "region", "task"]).select("region", "task", "day", "user", "v", "c")
-        days = goal.select("region", "task", "day", F.lit(None).cast(user_type).alias("user"), F.lit(0.0).alias("v"), "c")
-        solved = cut(rows.unionByName(days).groupBy("region").applyInPandas(_solve_users(lam_u), u_schema))
-        u, b = solved.where("user is not null"), solved.where("user is null").select("region", "task", F.col("u").alias("b"))
-        offsets = spark.createDataFrame(means, "region int, task string, m double")
-        bias = offsets.join(b, ["region", "task"], "left").select("region", "task", (F.col("m") + F.coalesce("b", F.lit(0.0))).alias("b"))
-        new_w, new_u = _norm(w, old_w, "word", "w"), _norm(u, old_u, "user", "u")
-        history.append((epoch, new_w, new_u))
-        old_w, old_u = w, u
-        if new_w <= tolerance and new_u <= tolerance:
-            break
-        if callback:
-            callback(epoch, w, u, bias)
-    return Bilinear(old_w, old_u, bias, len(history), history)
-
-
-def _every(rows: DataFrame, tasks: list[str]) -> DataFrame:
-    return rows.withColumn("task", F.explode(F.array(*map(F.lit, tasks))))
-
-
-def _norm(new: DataFrame, old: DataFrame | None, item: str, value: str) -> float:
-    """Size of the difference of two weight tables (a true copy of the last epoch's)."""
-    if old is None:
-        return float(new.agg(F.sqrt(F.sum(F.pow(F.col(value), F.lit(2.0))))).first()[0] or 0.0)
-    both = new.join(old.withColumnRenamed(value, "before"), ["region", "task", item], "full_outer")
-    d = F.coalesce(F.col(value), F.lit(0.0)) - F.coalesce(F.col("before"), F.lit(0.0))
-    return float(both.agg(F.sqrt(F.sum(d * d))).first()[0] or 0.0)
-
-
-def _solve_words(d: pd.DataFrame, target: pd.DataFrame, regions: list, tasks: list, lam: float, multitask: bool, simple: bool = False) -> pd.DataFrame:
-    """Words' weights of all regions and tasks; the regulariser ties them by word only."""
-    words = sorted(d["word"].unique())
-    at = {w: i for i, w in enumerate(words)}
-    shape = (len(words), len(regions), len(tasks))
-    blocks = []
-    cells = dict(tuple(d.groupby(["region", "task"])))
-    for r in regions:
-        for t in tasks:
-            y = target[(target["region"] == r) & (target["task"] == t)].sort_values("day")
-            part = cells.get((r, tasks[0] if multitask else t), d.iloc[:0])
-            m = np.zeros((len(y), len(words)))
-            day = {v: i for i, v in enumerate(y["day"])}
-            part = part[part["day"].isin(day)]
-            m[part["day"].map(day), part["word"].map(at)] = part["d"]
-            blocks.append((m, y["c"].to_numpy(float)))
-    cube = np.zeros(shape)
-    if not words:
-        return pd.DataFrame(columns=["region", "task", "word", "w"])
-    step = 1 / max(max((np.linalg.norm(m @ m.T, 2) for m, _ in blocks if m.size), default=1.0), 1e-12)
-    prox = prox_l1 if simple else prox_graph(shape)
-    z, momentum = cube.copy(), 1.0
-    for _ in range(60):
-        gradient = np.zeros(shape)
-        for k, (m, y) in enumerate(blocks):
-            r, t = divmod(k, len(tasks))
-            gradient[:, r, t] = m.T @ (m @ z[:, r, t] - y)
-        flat = (z - step * gradient).reshape(-1, len(tasks))
-        new = prox(flat, step * lam).reshape(shape)
-        ahead = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        z = new + (momentum - 1) / ahead * (new - cube)
-        change = np.abs(new - cube).max(initial=0)
-        cube, momentum = new, ahead
-        if change < 1e-7:
-            break
-    w, r, t = np.meshgrid(np.arange(shape[0]), np.arange(shape[1]), np.arange(shape[2]), indexing="ij")
-    return pd.DataFrame({"region": np.array(regions)[r.ravel()], "task": np.array(tasks)[t.ravel()], "word": np.array(words)[w.ravel()], "w": cube.ravel()})
-
-
-def _solve_users(lam: float):
-    """Per region: users' weights and bias of every task; rows without a user only carry the days' targets."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        region, out = int(frame["region"].iloc[0]), []
-        users = sorted(frame["user"].dropna().unique())
-        at = {v: i for i, v in enumerate(users)}
-        for task, part in frame.groupby("task"):
-            y = part.groupby("day")["c"].first().sort_index()
-            m = np.zeros((len(y), len(users)))
-            rows = part[part["user"].notna()]
-            m[y.index.get_indexer(rows["day"]), rows["user"].map(at).astype(int)] = rows["v"]
-            w, b = fista(m, y.to_numpy(float), prox_l1, lam, intercept=True, rounds=200)
-            out += [(region, task, v, float(w[i, 0])) for v, i in at.items()] + [(region, task, None, float(b[0]))]
-        result = pd.DataFrame(out, columns=["region", "task", "user", "u"])
-        result["user"] = result["user"].astype("Int64") if len(users) and not isinstance(users[0], str) else result["user"]
-        return result
-
-    return run
-
-
-def fit_flat(x: DataFrame, y: DataFrame, lam_w: float = 1e-3, lam_u: float = 1e-3, epochs: int = 10, prox_w: Prox = prox_l1, prox_u: Prox = prox_l1) -> tuple[pd.DataFrame, pd.DataFrame, pd.Series]:
-    """(w, u, bias) of the model without regions: x (day, user, word, x), y (day, task, y); each task by itself, words
-    first, users starting from 1. The two contractions are Spark sums; a task's designs are days x words and users."""
-    from loomline.plans.lineage import cut
-
-    x = cut(x.where("x is not null").groupBy("day", "user", "word").agg(F.sum("x").cast("double").alias("x")))
-    target = y.where("y is not null").toPandas()
-    spark = x.sparkSession
-    ws, us, bs = [], [], {}
-    user_type, word_type = dict(x.dtypes)["user"], dict(x.dtypes)["word"]
-    for task, goal in target.groupby("task"):
-        goal = goal.set_index("day")["y"].sort_index()
-        u = x.select("user").distinct().withColumn("u", F.lit(1.0))
-        for _ in range(epochs):
-            d = x.join(u, "user").groupBy("day", "word").agg(F.sum(F.col("x") * F.col("u")).alias("d")).toArrow().to_pandas()
-            m, words = _design(d, goal.index, "word", "d")
-            w, b = fista(m, goal.to_numpy(float), prox_w, lam_w, intercept=True)
-            weights = local_table(spark, pd.DataFrame({"word": words, "w": w[:, 0]}), f"word {word_type}, w double")
-            v = x.join(weights, "word").groupBy("day", "user").agg(F.sum(F.col("x") * F.col("w")).alias("v")).toArrow().to_pandas()
-            m, users = _design(v, goal.index, "user", "v")
-            uw, b = fista(m, goal.to_numpy(float), prox_u, lam_u, intercept=True)
-            u = local_table(spark, pd.DataFrame({"user": users, "u": uw[:, 0]}), f"user {user_type}, u double")
-        ws.append(pd.DataFrame({"task": task, "word": words, "w": w[:, 0]}))
-        us.append(pd.DataFrame({"task": task, "user": users, "u": uw[:, 0]}))
-        bs[task] = float(b[0])
-    return pd.concat(ws), pd.concat(us), pd.Series(bs)
-
-
-def _design(frame: pd.DataFrame, days: pd.Index, item: str, value: str) -> tuple[np.ndarray, list]:
-    items = sorted(frame[item].unique())
-    at = {v: i for i, v in enumerate(items)}
-    frame = frame[frame["day"].isin(days)]
-    m = np.zeros((len(days), len(items)))
-    m[days.get_indexer(frame["day"]), frame[item].map(at)] = frame[value]
-    return m, items
-
-
-def objective(estimate: np.ndarray, y: np.ndarray, w: np.ndarray, lam: float, shape: tuple[int, int, int]) -> float:
-    """Half the (unsquared) norm of the residuals plus the words' penalty."""
-    d = (estimate - y)[~np.isnan(y)]
-    return float(np.linalg.norm(d) / 2 + lam * penalty_graph(w, shape))
-
-
-def lambda_search(design: DataFrame, lambdas: list[float], prox: Prox = prox_l1) -> DataFrame:
-    """(lam, idx, err, sparsity) for a grid: trained on the rows of part 'train', squared error on 'val_param'.
-
-    design: (part, day, item, x, y). Every value of the grid is a task of its own.
-    """
-    rows = design.where("part in ('train', 'val_param')").withColumn("g", F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(v)).alias("lam")) for i, v in enumerate(lambdas)])))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lam, idx = float(frame["lam"].iloc[0]), int(frame["idx"].iloc[0])
-        items = sorted(frame["item"].unique())
-        fit_, score = (frame[frame["part"] == p] for p in ("train", "val_param"))
-        matrix = lambda f: (f.pivot_table(index="day", columns="item", values="x", aggfunc="sum", fill_value=0.0).reindex(columns=items, fill_value=0.0), f.groupby("day")["y"].first())
-        m, y = matrix(fit_)
-        w, b = fista(m.to_numpy(float), y.to_numpy(float), prox, lam, intercept=True)
-        err = float("nan")
-        if len(score):
-            m, y = matrix(score)
-            err = float(np.nansum((m.to_numpy(float) @ w[:, 0] + b[0] - y.to_numpy(float)) ** 2))
-        return pd.DataFrame({"lam": [lam], "idx": [idx], "err": [err], "sparsity": [float((w == 0).mean())]})
-
-    return rows.select("part", "day", "item", "x", "y", "g.idx", "g.lam").groupBy("idx").applyInPandas(run, "lam double, idx int, err double, sparsity double")
-
-
-def best_lambda(grid: DataFrame) -> DataFrame:
-    """The value with the least error; of equal ones the first of the grid."""
-    return grid.where("err is not null and not isnan(err)").agg(F.min_by(F.struct("lam", "err", "sparsity"), F.struct("err", "idx")).alias("b")).select("b.lam", "b.err", "b.sparsity")
-
-
-def prequential(design: DataFrame, lam: float, prox: Prox = prox_l1, first: int = 5) -> DataFrame:
-    """(day, y, y_hat): each day predicted by the model fitted on all days before, then learnt from. One task a series;
-    days before ``first`` days have been seen aren't predicted. design: (series, day, item, x, y)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        table = frame.pivot_table(index="day", columns="item", values="x", aggfunc="sum", fill_value=0.0).sort_index()
-        y = frame.groupby("day")["y"].first().sort_index().to_numpy(float)
-        m, out, start = table.to_numpy(float), [], None
-        for k in range(first, len(m)):
-            w, b = fista(m[:k], y[:k], prox, lam, intercept=True, rounds=200, start=start)
-            start = np.vstack([w, b[None]])
-            out.append((frame["series"].iloc[0], int(table.index[k]), float(y[k]), float(m[k] @ w[:, 0] + b[0])))
-        return pd.DataFrame(out, columns=["series", "day", "y", "y_hat"])
-
-    return design.groupBy("series").applyInPandas(run, "series string, day int, y double, y_hat double")
-
-
 def random_bilinear(tasks: int = 3, users: int = 5, words: int = 10, noise: float = 0.01, bias: tuple[float, float] | None = None, seed: int = 0):
     """(u, w, bias, draw): planted weights and a function that draws (X, y) with y = diag(u'Xw) + bias + noise."""
     rng = np.random.default_rng(seed)

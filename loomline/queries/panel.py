@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators import counts, learning, panel, polls
+from loomline.operators import bilinear, counts, learning, panel, polls
 from loomline.plans.lineage import cut
 from loomline.queries.common import ONCE, VOCABULARY_MIN, WORDS, messages
 from loomline.sources.tables import read_table
+from loomline.streaming import flows
 
 START = "2013-01-07"
 TASKS = ("civic", "harbour", "meadow")
@@ -171,47 +172,118 @@ def fold_apply(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _design(spark: SparkSession, d: str) -> DataFrame:
-    """(part, day, item, x, y): per day the share of messages with each keyword, against the mean sentiment."""
-    words = read_table(spark, d, "keywords").select(F.trim("keyword").alias("word")).where("word <> ''").distinct()
-    x = panel.keep_words(_x(spark, d), words).groupBy("day", F.col("word").alias("item")).agg(F.sum("x").alias("x"))
+    """(part, day, item, x, y): per day the messages with each word of the vocabulary, against the mean sentiment."""
+    x = _x(spark, d).groupBy("day", F.col("word").alias("item")).agg(F.sum("x").alias("x"))
     y = _y(spark, d).groupBy("day").agg(F.avg("y").alias("y"))
     return x.join(y, "day").withColumn("part", F.when(F.col("day") < 16, "train").otherwise("val_param"))
 
 
 def lambda_search(spark: SparkSession, d: str) -> DataFrame:
-    return learning.lambda_search(_design(spark, d), [x / 10 for x in range(1, 10)])
+    return bilinear.lambda_search(cut(_design(spark, d)), [x / 10 for x in range(1, 10)])
 
 
 def lambda_best(spark: SparkSession, d: str) -> DataFrame:
-    return learning.best_lambda(lambda_search(spark, d))
+    return bilinear.best_lambda(lambda_search(spark, d))
 
 
 def prequential(spark: SparkSession, d: str) -> DataFrame:
-    return learning.prequential(_design(spark, d).withColumn("series", F.lit("all")), 0.5)
+    return bilinear.prequential(cut(_design(spark, d)), 0.5)
+
+
+def _fit(spark: SparkSession, d: str, **options) -> bilinear.Bilinear:
+    """Of every user with a region, the whole vocabulary and all days, for the default 10 epochs."""
+    return bilinear.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, **options)
 
 
 def bilinear_region_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Fitted on every user with a region and the whole vocabulary: the words' weights that aren't zero."""
-    return learning.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5).w.where("w <> 0")
+    """The words' weights that aren't zero."""
+    return _fit(spark, d).w
+
+
+def bilinear_ridge_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _fit(spark, d, ridge=0.1).w
 
 
 def bilinear_multitask_fit(spark: SparkSession, d: str) -> DataFrame:
-    return learning.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, multitask=True).w.where("w <> 0")
+    return _fit(spark, d, multitask=True).w
+
+
+def bilinear_users_first_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _fit(spark, d, users_first=True, center=False).u
 
 
 def bilinear_flat_fit(spark: SparkSession, d: str) -> DataFrame:
     y = _y(spark, d).groupBy("day", "task").agg(F.avg("y").alias("y"))
-    return learning.local_table(spark, learning.fit_flat(region_flat_sum(spark, d), y)[0], "task string, word string, w double")
+    return bilinear.fit_flat(region_flat_sum(spark, d), y).w.select("task", "word", "w")
+
+
+def bilinear_incremental_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Two deliveries of days, learnt from one after the other: (task, b) of the model after the second."""
+    y = cut(_y(spark, d).groupBy("day", "task").agg(F.avg("y").alias("y")))
+    x = cut(region_flat_sum(spark, d))
+    learner = flows.IncrementalLearner(spark, lambda rows: bilinear.fit_incremental(rows.where("word is not null").select("day", "user", "word", "x"), rows.where("task is not null").select("day", "task", "y")))
+    both = x.unionByName(y, allowMissingColumns=True)
+    for number, part in enumerate((both.where("day < 12"), both.where("day >= 12"))):
+        learner(part, number)
+    return learner.model.bias.select("task", F.round("b", 3).alias("b"))
+
+
+def bilinear_open_users(spark: SparkSession, d: str) -> DataFrame:
+    """(region, task, open): users whose weight isn't optimal given the words' weights after two epochs, judged over all
+    users from the data: no user's sum against the residuals may be above the penalty, and where the weight isn't zero
+    it has to be equal to it in size, to a hundredth."""
+    x, y = cut(_expanded(spark, d)), cut(_y(spark, d))
+    m = bilinear.fit_regions(x, y, lam_w=0.5, lam_u=0.5, epochs=2)
+    estimate = panel.predict(x, m.w, m.u, m.bias, y.select("day"))
+    residual = y.join(estimate, ["region", "task", "day"]).select("region", "task", "day", (F.col("y_hat") - F.col("y")).alias("r"))
+    sums = panel.contract_words(x, m.w).join(residual, ["region", "task", "day"]).groupBy("region", "task", "user").agg(F.sum(F.col("v") * F.col("r")).alias("g"))
+    judged = sums.join(m.u, ["region", "task", "user"], "full_outer").select("region", "task", F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("u", F.lit(0.0)).alias("u"))
+    off = (F.abs("g") > 0.505) | ((F.col("u") != 0) & (F.abs(F.col("g") + F.signum("u") * 0.5) > 0.005))
+    cells = y.select("region", "task").distinct()
+    return cells.join(judged.where(off).groupBy("region", "task").count(), ["region", "task"], "left").select("region", "task", F.coalesce("count", F.lit(0)).cast("int").alias("open"))
+
+
+def bilinear_dense_same(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, epochs, same) on a planted panel: whether the working sets reach the objective of the dense solver, within a
+    ten-thousandth, on the words' problem of the first epoch."""
+    import numpy as np
+
+    x, y = learning.random_panel(regions=2, tasks=3, users=9, words=25, days=15, zeros=0.6)
+    cells = [(r, f"t{t}") for r in range(2) for t in range(3)]
+    days, words = range(15), range(25)
+    d_ = x.groupby(["region", "day", "word"])["x"].sum()
+    columns = np.array([[[d_.get((r, n, w), 0.0) for n in days] for r, _ in cells] for w in words])
+    goal = np.array([y[(y.region == r) & (y.task == t)].sort_values("day")["y"] for r, t in cells])
+    goal -= goal.mean(axis=1, keepdims=True)
+    design = np.zeros((len(cells) * 15, 25 * len(cells)))
+    for w in words:
+        for c in range(len(cells)):
+            design[c * 15 : c * 15 + 15, w * len(cells) + c] = columns[w, c]
+    out = []
+    for kind, prox in (("graph", learning.prox_graph((25, 2, 3))), ("multitask", learning.prox_multitask((25, 2, 3))), ("l1", learning.prox_l1)):
+        flat = lambda w, t: prox(w.reshape(-1, 3), t).reshape(-1, 1)  # noqa: B023, E731
+        dense, _ = learning.fista(design, goal.ravel(), flat, 0.5, rounds=20000, tolerance=1e-12)
+        penalty = bilinear.Penalty(kind, (2, 3))
+        value = lambda w: 0.5 * ((np.einsum("wc,wcd->cd", w, columns) - goal) ** 2).sum() + 0.5 * penalty.value(w)  # noqa: B023, E731
+        fit = bilinear.fit_regions(spark.createDataFrame(x), spark.createDataFrame(y), lam_w=0.5, lam_u=0.5, epochs=1, multitask=kind == "multitask", simple=kind == "l1")
+        got = np.zeros((25, len(cells)))
+        for r in fit.w.collect():
+            got[r.word, cells.index((r.region, r.task))] = r.w
+        best = value(dense.reshape(25, -1))
+        out.append((kind, bool(value(got) <= best * 1.0001 and fit.settled)))
+    return spark.createDataFrame(out, "kind string, same boolean")
 
 
 def panel_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """(fold, task, region, sse, ...): the region model fitted on each fold's training days, scored on its test days."""
+    """(fold, task, region, sse, ...): the region model fitted on each fold's training days, scored on its test days.
+    Folds grow over all days of the panel."""
     x, y = cut(_expanded(spark, d)), cut(_y(spark, d))
-    folds = panel.iterator_folds(spark, 24, 0, 14, 2, 5)
+    n_days = (y.agg(F.max("day")).first()[0] or 0) + 1
+    folds = panel.iterator_folds(spark, n_days, 0, 14, 2, 5)
     out = None
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         days = lambda part: folds.where((F.col("fold") == fold) & (F.col("part") == part)).select("day")  # noqa: B023, E731
-        model = learning.fit_regions(x.join(days("train"), "day"), y.join(days("train"), "day"), lam_w=0.5, lam_u=0.5)
+        model = bilinear.fit_regions(x.join(days("train"), "day"), y.join(days("train"), "day"), lam_w=0.5, lam_u=0.5)
         test = y.join(days("test"), "day")
         estimate = panel.predict(x.join(days("test"), "day"), model.w, model.u, model.bias, days("test"))
         scored = panel.errors(test.join(estimate, ["day", "task", "region"]), "task", "region").withColumn("fold", F.lit(fold))
@@ -220,7 +292,7 @@ def panel_experiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (panel_x, region_expand, region_flat_sum, gender_split, voc_keep, contract_v, contract_d, bilinear_predict, poll_panel, polls_long, baseline_mean, baseline_last, eval_linear, eval_bilinear, rmse_table, top_pos_neg_words, normalised_weights, selected_counts, sparsity, subsample, folds_growing, folds_windowed, folds_iterator, fold_val_split, fold_apply, lambda_search, lambda_best, prequential, bilinear_region_fit, bilinear_multitask_fit, bilinear_flat_fit, panel_experiment)}
+    return {f.__name__: f for f in (panel_x, region_expand, region_flat_sum, gender_split, voc_keep, contract_v, contract_d, bilinear_predict, poll_panel, polls_long, baseline_mean, baseline_last, eval_linear, eval_bilinear, rmse_table, top_pos_neg_words, normalised_weights, selected_counts, sparsity, subsample, folds_growing, folds_windowed, folds_iterator, fold_val_split, fold_apply, lambda_search, lambda_best, prequential, bilinear_region_fit, bilinear_ridge_fit, bilinear_multitask_fit, bilinear_users_first_fit, bilinear_flat_fit, bilinear_incremental_fit, bilinear_open_users, bilinear_dense_same, panel_experiment)}
 
 
 _X = f"""with {ONCE}, e as (select ord, unnest({WORDS.format("all_tokens")}) as word from t where all_tokens is not null),
@@ -283,5 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "fold_val_split": _GROW + """, va as (select fold, day, row_number() over (partition by fold order by day) - 1 as r from fo where part = 'validation'),
             sp as (select fold, case when r >= 3 and r < 5 then 'val_it' else 'val_param' end as part, day from va)
             select * from fo where part in ('train', 'test') union all select * from sp union all select fold, 'train_all', day from fo where part = 'train' union all select fold, 'train_all', day from sp where part = 'val_param'""",
+        "bilinear_open_users": _X + _Y + ' select distinct region, task, 0 as open from y',
+        "bilinear_dense_same": "select kind, true as same from (values ('graph'), ('multitask'), ('l1')) v(kind)",
         "fold_apply": _X + _Y + ", " + _ITER.format(n=7, h=2, v=4) + " select fold, part, task, round(avg(y), 6) as y, count(*) as n from y join fo using (day) group by 1, 2, 3",
     }

@@ -3,7 +3,9 @@ import itertools
 import numpy as np
 import pytest
 
+from loomline.operators import bilinear as B
 from loomline.operators import learning as L
+from loomline.plans.lineage import cut
 
 rng = np.random.default_rng(5)
 
@@ -68,13 +70,49 @@ def test_planted_generator(bias):
     assert total < 0.1
 
 
+def dense(columns, y, seen, lam, prox, intercept):
+    """The same problem by the dense solver: cells stacked one below the other."""
+    n, cells, days = columns.shape
+    design = np.zeros((cells * days, n * cells + (cells if intercept else 0)))
+    for c in range(cells):
+        for i in range(n):
+            design[c * days : (c + 1) * days, i * cells + c] = columns[i, c]
+        if intercept:
+            design[c * days : (c + 1) * days, n * cells + c] = 1
+    keep = lambda w, t: np.vstack([prox(w[: n * cells], t), w[n * cells :]])
+    goal = np.where(seen, y, np.nan).ravel()
+    w, _ = L.fista(design, goal, keep, lam, rounds=30000, tolerance=1e-13)
+    return w[: n * cells].reshape(n, cells), w[n * cells :, 0] if intercept else np.zeros(cells)
+
+
+@pytest.mark.parametrize(("kind", "ridge", "intercept"), [("l1", 0.0, True), ("l1", 0.3, False), ("graph", 0.0, False), ("graph", 0.2, True), ("multitask", 0.0, True)])
+def test_working_sets_reach_the_dense_solution(spark, kind, ridge, intercept):
+    n, regions, tasks, days = 30, 2, 3, 12
+    cells = regions * tasks
+    columns = rng.random((n, cells, days)) * (rng.random((n, cells, days)) < 0.5) * rng.integers(1, 20, n)[:, None, None]
+    y, seen = rng.normal(size=(cells, days)) * 3 + 1, rng.random((cells, days)) < 0.9
+    rows = [(int(i), int(c), int(d), float(columns[i, c, d])) for i, c, d in zip(*np.nonzero(columns))]
+    items = cut(B.pack(spark.createDataFrame(rows, "item int, cell int, day int, v double"), "item"))
+    shape = (n, regions, tasks)
+    prox = {"l1": L.prox_elastic(ridge) if ridge else L.prox_l1, "graph": L.prox_graph(shape, ridge=ridge), "multitask": L.prox_multitask(shape, ridge)}[kind]
+    penalty, lam = B.Penalty(kind, (regions, tasks), ridge), 2.0
+    want, bias = dense(columns, y, seen, lam, lambda w, t: prox(w.reshape(-1, tasks), t).reshape(-1, 1), intercept)
+    value = lambda w, b: 0.5 * (np.where(seen, np.einsum("ic,icd->cd", w, columns) + b[:, None] - y, 0) ** 2).sum() + lam * penalty.value(w)
+    for working in (16, 1000):
+        got = B.working_set(items, ["item"], y, seen, np.full(cells, lam), penalty, intercept, working=working)
+        w = np.zeros((n, cells))
+        for (i,), row in zip(got.keys, got.weights, strict=True):
+            w[i] = row
+        assert got.settled and value(w, got.bias) <= value(want, bias) * 1.0001
+
+
 def test_region_fit_explains_panel(spark):
     from loomline.operators import panel
 
     x, y = L.random_panel(days=40, zeros=0.5)
     sx, sy = spark.createDataFrame(x), spark.createDataFrame(y)
     seen = []
-    m = L.fit_regions(sx, sy, lam_w=1e-3, lam_u=1e-3, epochs=2, callback=lambda e, *_: seen.append(e))
+    m = B.fit_regions(sx, sy, lam_w=1e-3, lam_u=1e-3, epochs=2, callback=lambda e, _: seen.append(e))
     assert seen == [0, 1] and len(m.history) == 2
     scored = sy.join(panel.predict(sx, m.w, m.u, m.bias, sy.select("day")), ["day", "task", "region"])
     mean = panel.mean_center(sy)
@@ -82,24 +120,50 @@ def test_region_fit_explains_panel(spark):
     assert fitted < 0.3 * base
 
 
+def test_objective_falls_and_fit_stops_early(spark):
+    x, y = L.random_panel(days=20, zeros=0.5)
+    seen = []
+    m = B.fit_regions(spark.createDataFrame(x), spark.createDataFrame(y), lam_w=0.5, lam_u=0.5, epochs=6, tolerance=1e9, callback=lambda e, _: seen.append(e))
+    assert m.epochs == 1 and seen == []  # stops before the callback
+    m = B.fit_regions(spark.createDataFrame(x), spark.createDataFrame(y), lam_w=0.5, lam_u=0.5, epochs=4, tolerance=0)
+    assert all(b <= a * 1.001 for a, b in itertools.pairwise(m.objective))
+
+
+def test_fits_of_odd_panels(spark):
+    """Nulls, missing targets, repeated rows, no rows, users and words as text, clashing columns."""
+    x = spark.createDataFrame([(d, 1, f"u{u}", f"w{w}", float((d * 7 + u * 3 + w) % 5), "z") for d in range(8) for u in range(3) for w in range(4)] + [(None, 1, "u0", "w0", 1.0, "z"), (0, None, "u0", "w0", 1.0, "z"), (0, 1, None, "w0", 1.0, "z"), (0, 1, "u0", "w0", None, "z"), (0, 1, "u0", "w0", 1.0, "z")], "day int, region int, user string, word string, x double, cell string")
+    y = spark.createDataFrame([(d, t, 1, float(d % 3)) for d in range(8) for t in ("a", "b") if (d, t) != (3, "b")] + [(0, "a", None, 1.0), (4, "b", 1, None)], "day int, task string, region int, y double")
+    m = B.fit_regions(x, y, lam_w=0.1, lam_u=0.1, epochs=2)
+    assert m.bias.count() == 2 and m.settled
+    for empty_x, empty_y in ((x.where("false"), y), (x, y.where("false"))):
+        m = B.fit_regions(empty_x, empty_y, epochs=2)
+        assert m.w.count() == 0 and m.u.count() == 0
+
+
 def test_lambda_and_prequential(spark):
     rows = []
     for day in range(20):
         a, b = rng.normal(), rng.normal()
         rows += [("train" if day < 14 else "val_param", day, i, float(v), float(2 * a)) for i, v in (("a", a), ("b", b))]
     design = spark.createDataFrame(rows, "part string, day int, item string, x double, y double")
-    grid = L.lambda_search(design, [0.1, 5.0, 0.1])
-    assert grid.count() == 3 and L.best_lambda(grid).first().lam == 0.1
-    from pyspark.sql import functions as F
-
-    out = L.prequential(design.withColumn("series", F.lit("s")), 0.01).collect()
+    grid = B.lambda_search(design, [0.1, 5.0, 0.1])
+    assert grid.count() == 3 and B.best_lambda(grid).first().lam == 0.1
+    table = design.toPandas().pivot(index="day", columns="item", values="x")
+    y = design.toPandas().groupby("day")["y"].first()
+    w, b = L.fista(table[:14].to_numpy(), y[:14].to_numpy(), L.prox_l1, 5.0, intercept=True)
+    assert grid.where("idx = 1").first().err == pytest.approx(((table[14:].to_numpy() @ w[:, 0] + b - y[14:]) ** 2).sum(), rel=1e-2)
+    out = B.prequential(design, 0.01).collect()
     assert len(out) == 15 and all(abs(r.y - r.y_hat) < 0.5 for r in out)
+    assert B.prequential(design.where("false"), 0.1).count() == 0 and B.lambda_search(design.where("false"), [0.1]).count() == 1
 
 
-def test_flat_fit(spark):
+def test_flat_and_incremental_fit(spark):
     x, y = L.random_panel(regions=1, days=30, zeros=0.3)
-    w, u, b = L.fit_flat(spark.createDataFrame(x.drop(columns="region")), spark.createDataFrame(y.drop(columns="region")), epochs=2)
-    assert set(w.task) == set(y.task) and len(b) == 5
+    sx, sy = spark.createDataFrame(x.drop(columns="region")), spark.createDataFrame(y.drop(columns="region"))
+    m = B.fit_flat(sx, sy, epochs=2)
+    assert {r.task for r in m.w.collect()} == set(y.task) and m.bias.count() == 5
+    m = B.fit_incremental(sx, sy, most=9)
+    assert m.epochs <= 9
 
 
 def test_graph_prox_of_many_words():
@@ -117,8 +181,8 @@ def test_registered_fits_take_all_users_words_and_epochs(spark, data, monkeypatc
     def spy(x, y, **options):
         raise Seen(x, options)
 
-    monkeypatch.setattr(queries.learning, "fit_regions", spy)
-    monkeypatch.setattr(queries.learning, "fit_flat", spy)
+    monkeypatch.setattr(queries.bilinear, "fit_regions", spy)
+    monkeypatch.setattr(queries.bilinear, "fit_flat", spy)
     whole = queries.region_expand(spark, data)
     flat = whole.groupBy("day", "user", "word").count().count()
     for name, n in (("bilinear_region_fit", whole.count()), ("bilinear_multitask_fit", whole.count()), ("bilinear_flat_fit", flat), ("panel_experiment", None)):
@@ -127,10 +191,3 @@ def test_registered_fits_take_all_users_words_and_epochs(spark, data, monkeypatc
         x, options = seen.value.args
         assert "epochs" not in options
         assert n is None or x.count() == n
-        words = {r.word for r in x.select("word").distinct().collect()}
-        users = {r.user for r in x.select("user").distinct().collect()}
-        if n is not None:
-            assert words == {r.word for r in whole.select("word").distinct().collect()}
-            assert users == {r.user for r in whole.select("user").distinct().collect()}
-        else:
-            assert max(users) >= 40
