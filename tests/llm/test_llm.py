@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,21 +208,42 @@ def test_registered_pairs_are_all_pairs(spark, tmp_path):
     assert min(r.lift for r in got.values()) < 1
 
 
+def stripes_of(lists):
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(x, np.int32) for x in lists], pa.list_(pa.int32()))], names=["items"])
+
+
 def test_stripes_split_and_merge():
-    lists = [np.array([1, 2, 3]), np.array([2, 3]), np.array([5]), np.array([3, 2])]
-    parts = list(cooccurrence._local_stripes(iter([pd.DataFrame({"items": lists[:2]}), pd.DataFrame({"items": lists[2:]})])))
-    merged = pd.concat(parts * 2).sort_values(["item", "slot"], kind="stable").reset_index(drop=True)
-    frames = [merged.iloc[i : i + 1].reset_index(drop=True) for i in range(len(merged))]
-    got = pd.concat(cooccurrence._merge(1)(iter(frames)))
-    assert sorted(map(tuple, got.to_numpy().tolist())) == [(1, 2, 2), (1, 3, 2), (2, 3, 6)]
+    lists = [[1, 2, 3], [2, 3], [5], [3, 2]]
+    parts = [b.to_pandas() for b in cooccurrence._local_stripes(iter([stripes_of(lists[:2]), stripes_of(lists[2:])]))]
+    merged = pd.concat(parts * 2).sort_values("item", kind="stable").reset_index(drop=True)
+    batches = [pa.RecordBatch.from_pandas(merged.iloc[i : i + 1], schema=pa.schema([("item", pa.int32()), ("neighbours", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]), preserve_index=False) for i in range(len(merged))]
+    got = [tuple(r.values()) for b in cooccurrence._merge(1)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(1, 2, 2), (1, 3, 2), (2, 3, 6)]
+
+
+def test_counts_beyond_four_bytes():
+    many = 3_000_000_000
+    key = np.array([(1 << 32) | 2, (1 << 32) | 3], np.int64)
+    batches = [b for _ in range(2) for b in cooccurrence._stripes(key, np.array([many, 1], np.int64))]
+    got = [tuple(r.values()) for b in cooccurrence._merge(1)(iter(batches)) for r in b.to_pylist()]
+    assert got == [(1, 2, 2 * many), (1, 3, 2)]
+
+
+def test_pairs_are_the_same_without_a_broadcast_list(spark):
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(i, [f"t{int(rng.paretovariate(0.5)) % 300}" for _ in range(8)]) for i in range(500)], "ord long, tokens array<string>")
+    both = [sorted(tuple(r) for r in cooccurrence.associated_pairs(frame, "ord", "tokens", 1, lift, 0.0, broadcast_bytes=size).collect()) for lift in (0.0, 2.0) for size in (1 << 26, 0)]
+    assert both[0] == both[1] and both[2] == both[3] and len(both[0]) > len(both[2]) > 0
 
 
 def test_long_records_come_in_blocks(monkeypatch):
     monkeypatch.setattr(cooccurrence, "FLUSH_PAIRS", 50)
-    lists = [np.arange(40), np.array([3, 1]), np.array([7]), np.zeros(0, np.int64), np.arange(5)]
-    got = sorted((int(x), int(y)) for a, b in cooccurrence._blocks(lists) for x, y in zip(a, b, strict=True))
-    assert got == sorted((int(x), int(y)) for items in lists for x, y in itertools.combinations(np.sort(items), 2))
-    assert max(len(a) for a, _ in cooccurrence._blocks(lists)) <= 100
+    lists = [list(range(40)), [3, 1], [7], [], list(range(5))]
+    values, sizes = np.array([x for items in lists for x in items]), np.array([len(items) for items in lists])
+    blocks = list(cooccurrence._keys(values, sizes))
+    got = sorted((int(k) >> 32, int(k) & 0xFFFFFFFF) for block in blocks for k in block)
+    assert got == sorted(p for items in lists for p in itertools.combinations(sorted(items), 2))
+    assert max(map(len, blocks)) <= 100
 
 
 def test_log_likelihood(spark):
