@@ -9,6 +9,7 @@ expected tokens of each source meet its target. Rates become whole numbers of re
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,16 +19,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.tokens import VOCABULARY, with_token_counts
+from loomline.llm.tokens import VOCABULARY, encoder, sample_texts
 
-#: Bounds of the classifier: labelled records looked at, hash buckets of its words.
-MAX_LABELLED = 3000
+#: Bounds of the classifier: labelled records looked at and bytes of their texts, hash buckets of its words.
+MAX_LABELLED, MAX_BYTES = 3000, 32 << 20
 BUCKETS = 1 << 14
-#: A record without a usable source takes part only if one source is this probable.
-MIN_POSTERIOR = 0.9
+#: Posteriors are kept as multiples of this, so that records of equal ones can be added up before the fit.
+GRAIN = 1 / 200
 MAX_STEPS = 60
 TOLERANCE = 1e-4
-#: Where memberships are soft and the targets aren't met this closely in MAX_STEPS steps, a smaller selection is fitted.
+#: Where the targets aren't met this closely in MAX_STEPS steps, a smaller selection is fitted.
 LOOSE, SHRINK, MAX_SHRINKS = 5e-3, 0.93, 12
 #: Rates are rounded within groups of about so many records.
 GROUP_RECORDS = 5000
@@ -102,31 +103,51 @@ def _targets(mix_targets: DataFrame) -> pd.DataFrame:
     return t.sort_values("key").reset_index(drop=True)
 
 
-def memberships(documents: DataFrame, keys: list[str], path: str = VOCABULARY, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, key, tokens, p): p is the probability of each of ``keys``; null where the record is known to be of
-    another source or can't be told."""
-    from loomline.plans.lineage import bounded_sample, spread_small
+def _grained(p: np.ndarray) -> np.ndarray:
+    """Posteriors in whole grains that add up to one: what rounding down leaves over goes to the largest remainders."""
+    whole = np.floor(p / GRAIN + 1e-9)
+    order = np.argsort(-(p / GRAIN - whole), axis=1, kind="stable")
+    left = np.round(1 / GRAIN - whole.sum(axis=1)).astype(int)
+    np.put_along_axis(whole, order, np.take_along_axis(whole, order, axis=1) + (np.arange(p.shape[1]) < left[:, None]), axis=1)
+    return whole * GRAIN
+
+
+def memberships(documents: DataFrame, keys: list[str], path: str = VOCABULARY, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, key, tokens, p) of the records that may take part: p is the probability of each of ``keys``, one of them
+    for a record with a known source, the classifier's posterior for one without (what is missing to one is the
+    probability of the sources without target). Records of other sources give no row, and those without source
+    none where no record has one to learn from."""
+    from loomline.plans.lineage import spread_small
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source_key("source").alias("key")).where("doc_id is not null")
-    sized = with_token_counts(spread_small(rows), "text", path=path)
-    known = rows.where("key is not null and text is not null")
-    picked = bounded_sample(known, "doc_id", max_labelled).collect()
-    named = F.array(*[(F.col("key") == k).cast("double") for k in keys]) if keys else F.array().cast("array<double>")
-    labelled = sized.where(F.col("key").isin(keys)).select("doc_id", "key", "tokens", named.alias("p"))
-    if not picked:
-        return labelled
+    picked = sample_texts(rows.where("key is not null"), "doc_id", max_labelled, max_bytes)
     classes = [*keys, "\x00other"]
-    model = train([(r.text, r.key if r.key in keys else classes[-1]) for r in sorted(picked, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))], classes)
+    model = train([(r.text, r.key if r.key in keys else classes[-1]) for r in sorted(picked, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))], classes) if picked else None
+    at = {k: i for i, k in enumerate(keys)}
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(path).encode_ordinary
         for frame in frames:
-            p = model.posterior([t or "" for t in frame["text"]])
-            sure = p[:, :-1].max(axis=1) >= MIN_POSTERIOR if len(keys) else np.zeros(len(frame), bool)
-            out = frame[sure]
-            yield pd.DataFrame({"doc_id": out["doc_id"].to_numpy(), "key": pd.Series([None] * len(out), dtype=object), "tokens": out["tokens"].to_numpy(), "p": pd.Series([x.tolist() for x in np.round(p[sure, :-1], 3)], dtype=object)})
+            p = np.zeros((len(frame), len(classes)))
+            code = frame["key"].map(at).fillna(-1).to_numpy().astype(int)
+            p[np.flatnonzero(code >= 0), code[code >= 0]] = 1
+            soft = np.flatnonzero(code < 0)
+            if len(soft):
+                p[soft] = _grained(model.posterior([t or "" for t in frame["text"].iloc[soft]]))
+            sizes = np.fromiter((len(encode(t)) if t else 0 for t in frame["text"]), np.int64, len(frame))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "tokens": sizes, "p": pd.Series(list(p[:, :-1]), dtype=object, index=frame.index)})
+
+    wanted = F.col("key").isin(keys) if keys else F.lit(False)
+    usable = spread_small(rows).where(wanted | F.col("key").isNull() if model else wanted)
+    return usable.mapInPandas(run, "doc_id long, key string, tokens long, p array<double>")
 
-    soft = sized.where("key is null and text is not null").select("doc_id", "text", "tokens").mapInPandas(predict, "doc_id long, key string, tokens long, p array<double>")
-    return labelled.unionByName(soft)
+
+def repeats_of(p: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """How often each record may be used: its source's repeats; for one without, the whole part of the mean over the
+    sources that it may be of, at least once."""
+    share = p.sum(axis=1)
+    mean = p @ repeats / np.maximum(share, 1e-12)
+    return np.where(p @ repeats > 0, np.maximum(np.floor(mean + 1e-9), 1), 0.0)
 
 
 def rates(p: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -141,52 +162,59 @@ def rates(p: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarra
 def fit_rates(members: DataFrame, share: np.ndarray, repeats: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, target tokens by source, reached expected tokens by source).
 
-    The size of the selection is the largest at which every source with records can still meet its share; soft
-    memberships tie sources together, so there it is made smaller step by step until the targets are met.
-    Records of equal memberships are added up first; each step is one distributed pass over those.
+    Sources with a share and labelled records are fitted; others can't be steered, and what posteriors give to them
+    counts for none. The size of the selection is the largest at which the labelled records alone could meet every
+    share, so that targets can be met whatever the records without source add. Should a step's limits keep a target from
+    being met, the selection is made smaller; targets that even then aren't met are warned of, and the report of ``shares``
+    shows by how much. Records of equal memberships are added up first; each step is one distributed pass over those.
     """
     from loomline.plans.lineage import cut
 
     k = len(share)
-    grouped = cut(members.where("tokens > 0").groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
+    rows = members.where("tokens > 0")
+    grouped = cut(rows.groupBy("p", F.col("key").isNotNull().alias("known")).agg(F.sum("tokens").cast("double").alias("tokens")))
 
-    def expected(steps: list[np.ndarray] | None) -> np.ndarray:
+    def expected(steps: list[np.ndarray] | None, known_only: bool = False) -> np.ndarray:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(k)
             for frame in frames:
                 if len(frame):
                     p = np.stack(frame["p"].to_list())
-                    r = rates(p, p @ repeats, steps) if steps is not None else np.ones(len(p))
+                    r = rates(p, repeats_of(p, repeats), steps) if steps is not None else np.ones(len(p))
                     total += (p * (r * frame["tokens"].to_numpy())[:, None]).sum(axis=0)
             yield pd.DataFrame({"s": range(k), "t": total})
 
-        got = grouped.mapInPandas(run, "s int, t double").groupBy("s").agg(F.sum("t").alias("t")).toPandas()
+        source = grouped.where("known") if known_only else grouped
+        got = source.select("p", "tokens").mapInPandas(run, "s int, t double").groupBy("s").agg(F.sum("t").alias("t")).toPandas()
         out = np.zeros(k)
         out[got["s"].to_numpy()] = got["t"].to_numpy()
         return out
 
-    mass = expected(None)
-    able = (share > 0) & (mass > 0) & (repeats > 0)
+    mass, labelled = expected(None), expected(None, known_only=True)
+    able = (share > 0) & (labelled > 0) & (repeats > 0)
     if not able.any():
         return [], np.zeros(k), np.zeros(k)
     wanted = np.where(able, share, 0.0) / share[able].sum()
-    size = float((repeats[able] * mass[able] / wanted[able]).min())
+    size = float((repeats[able] * labelled[able] / wanted[able]).min())
     for _ in range(MAX_SHRINKS):
         steps, target, reached = [], size * wanted, np.zeros(k)
         for _ in range(MAX_STEPS):
-            residual = reached - target
+            residual = np.where(able, reached - target, 0.0)
             if np.abs(residual).max() <= TOLERANCE * size:
                 return steps, target, reached
-            # Preconditioned by each source's mass: with hard memberships a single step meets the targets.
+            # Preconditioned by each source's mass: records of known sources meet the targets at once, the others' shares
+            # make for a few steps more.
             steps.append(np.where(mass > 0, residual / np.maximum(mass, 1.0), 0.0))
             reached = expected(steps)
-        if np.abs(reached - target).max() <= LOOSE * size:
+        if np.abs(np.where(able, reached - target, 0.0)).max() <= LOOSE * size:
             break
-        size *= SHRINK  # soft memberships can keep sources from their targets at this size
+        size *= SHRINK
+    else:
+        warnings.warn(f"the nearest mixture misses a target by {np.abs(np.where(able, reached - target, 0.0)).max() / target.sum():.4f} of its size", stacklevel=2)
     return steps, target, reached
 
 
-SELECTED = "doc_id long, key string, tokens long, rate double, repeats int"
+SELECTED = "doc_id long, key string, tokens long, p array<double>, rate double, repeats int"
 
 
 def _round(steps: list[np.ndarray], repeats: np.ndarray):
@@ -195,7 +223,7 @@ def _round(steps: list[np.ndarray], repeats: np.ndarray):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         p = np.stack(frame["p"].to_list())
-        caps = p @ repeats
+        caps = repeats_of(p, repeats)
         r = rates(p, caps, steps)
         whole, most = np.floor(r + 1e-9), np.floor(caps + 1e-9)
         out, error = np.zeros(len(frame), np.int64), 0.0
@@ -209,7 +237,7 @@ def _round(steps: list[np.ndarray], repeats: np.ndarray):
             less = int(np.clip(np.floor(-error / t + 0.5) if -error >= t / 2 else 0, 0, out[i]))
             out[i] += more - less
             error -= (more - less) * t
-        return pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "tokens": frame["tokens"], "rate": r, "repeats": out.astype(np.int32)})
+        return pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "tokens": frame["tokens"], "p": frame["p"], "rate": r, "repeats": out.astype(np.int32)})
 
     return run
 
@@ -234,8 +262,8 @@ def selection(documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULA
     """(doc_id, source, tokens, repeats): the records of the mixture and how often each is used.
 
     A record without an id or tokens, or whose source has no target, a target of 0 or no repeats, isn't used; one without a
-    source only where its text tells the source. Where a targeted source has no records, the others keep their
-    ratios. Empty tables give no rows.
+    source takes part by the posterior of its text and counts towards the sources in that proportion. Where a
+    targeted source has no records, the others keep their ratios. Empty tables give no rows.
     """
     chosen, targets = mix(documents, mix_targets, path)
     names = documents.sparkSession.createDataFrame([(t.key, t.source) for t in targets.itertuples()], "key string, source string")
@@ -243,11 +271,18 @@ def selection(documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULA
 
 
 def shares(documents: DataFrame, mix_targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(source, target_share, reached_share, tokens, records): the shares reached, for every source with a target;
-    the row with null source holds records used without a known source."""
+    """(source, target_share, reached_share, tokens, records, labelled_tokens): the shares reached, for every source with
+    a target. A record used without a known source counts by its posterior, as ``records`` too; ``labelled_tokens``
+    are those of the records with the source as their label. The row with null source holds what posteriors give to
+    sources without target."""
     chosen, targets = mix(documents, mix_targets, path)
-    names = documents.sparkSession.createDataFrame([(t.key, t.source, float(t.share)) for t in targets.itertuples()], "key string, source string, target_share double")
-    by = chosen.groupBy("key").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("records"))
-    total = by.agg(F.sum("tokens")).first()[0] or 0
-    joined = by.join(names, "key", "full_outer")
-    return joined.select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"))
+    spark, k = documents.sparkSession, len(targets)
+    table = spark.createDataFrame([(i, t.source, float(t.share)) for i, t in enumerate(targets.itertuples())], "s int, source string, target_share double")
+    other = F.greatest(F.lit(1.0) - F.aggregate("p", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    each = chosen.select(F.col("key").isNotNull().alias("known"), (F.col("tokens") * F.col("repeats")).alias("size"), F.posexplode(F.concat("p", F.array(other))).alias("s", "m")).where("m > 0")
+    own = F.when(F.col("known"), F.col("size")).otherwise(F.lit(0))
+    by = each.groupBy("s").agg(F.sum(F.col("m") * F.col("size")).alias("tokens"), F.sum("m").alias("records"), F.sum(own).alias("labelled_tokens"))
+    total = by.agg(F.sum("tokens")).first()[0] or 0.0
+    joined = by.where((F.col("s") < k) | (F.col("tokens") > 1e-6)).join(table, "s", "full_outer")
+    zero = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c)
+    return joined.select("source", "target_share", (F.coalesce("tokens", F.lit(0.0)) / F.lit(max(total, 1.0))).alias("reached_share"), zero("tokens", "double"), zero("records", "double"), zero("labelled_tokens", "long"))

@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files are; a parameter everywhere, never copied into this package.
@@ -47,3 +47,21 @@ def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "tokens"
             yield pd.Series([len(encode(t)) if t else 0 for t in part], dtype="int64")
 
     return df.withColumn(out, count(F.col(text_col)))
+
+
+def sample_texts(df: DataFrame, id_col: str, n: int, max_bytes: int, text_col: str = "text") -> list[Row]:
+    """At most ``n`` rows with a text and at most ``max_bytes`` of texts together, chosen by a hash of the id: the same
+    on every run. Texts that don't fit in what is left are passed over, whole. Only ids and sizes are gathered to choose."""
+    from loomline.plans.lineage import bounded_sample
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    sizes = bounded_sample(rows.select(id_col, F.octet_length(text_col).alias("_size")), id_col, n).collect()
+    chosen, left = [], max_bytes
+    for r in sizes:
+        if r._size <= left:
+            chosen.append(r[id_col])
+            left -= r._size
+    if not chosen:
+        return []
+    picked = df.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(chosen)], f"{id_col} {dict(df.dtypes)[id_col]}")
+    return rows.join(F.broadcast(picked), id_col, "left_semi").collect()
