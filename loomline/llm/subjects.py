@@ -1,13 +1,16 @@
 """Problem 8: the subject areas of each document.
 
-Method: labelling functions and an accuracy-learning latent model. Functions vote on every sentence: a seed lexicon,
-a learned lexicon (sure and unsure votes apart), addresses and tags, the section (headline), the source, and the rest
-of the document. None of their votes is taken as truth: expectation-maximisation learns each function's accuracy, and
-a sentence's subject comes from the posterior. A document gets the subjects that hold enough of its sentences.
+Method: labelling functions and an accuracy-learning latent model. Functions vote on every sentence: the words of the
+subjects' descriptions, a lexicon learned from labelled documents (sure and unsure votes apart), addresses and tags, the
+section (headline), the source, and the rest of the document. None of their votes is taken as truth:
+expectation-maximisation learns each function's accuracy, and a sentence's subject comes from the posterior. Functions
+that draw on the same lexicon are one family: they count as one vote of their mean strength, since what misleads one
+misleads the others. A document gets the subjects that hold enough of its sentences.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -19,25 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A few words of each subject, and of everyday life, in the languages of the corpus.
-SEEDS = {
-    "politics": "election parliament minister coalition vote cabinet regierung minister koalition abstimmung ministre sénat scrutin gobierno ministro parlamento",
-    "economy": "investor inflation budget dividend exporter börse währung konzern aktie bourse monnaie dividende inflación deuda accionista",
-    "sport": "goalkeeper referee match tournament striker stürmer schiedsrichter trainer turnier gardien buteur stade árbitro delantero estadio",
-    "science": "neutron experiment galaxy molecule telescope teilchen galaxie hypothese molekül laboratoire génome galaxie experimento molécula genoma",
-    "law": "court judge verdict defendant barrister klage angeklagte geständnis betrug juge prévenu plainte juez veredicto juicio",
-    "software": "server database password compiler debugger datenbank quelltext passwort serveur navigateur compilateur servidor navegador parche",
-    "health": "vaccine patient nurse clinic diagnosis impfstoff klinik diagnose allergie infirmière vaccin fièvre enfermera vacuna diagnóstico",
-    "culture": "novel theatre opera painter orchestra gemälde regisseurin roman schauspieler musée opéra peintre teatro ópera pintor",
-    "travel": "hotel airport luggage passport tourist reisepass bahnsteig herberge gepäck camping valise passeport aeropuerto pasaporte equipaje",
-}
-EVERYDAY = "dog kitchen sofa pillow neighbour garten katze küche nachbarin fenêtre tasse voisine cocina taza vecina"
-# How closing lines of a page read.
-FOOTER = r"rights reserved|rechte vorbehalten|droits réservés|derechos reservados|terms of use|follow us|corrections|korrekturen|\bapp\b|application gratuite|aplicación gratuita|^(photo|bild|foto)\b"
-#: Bounds of the fit: labelled documents, other documents, rounds.
-MAX_LABELLED = 4000
-MAX_OTHER = 3000
-ROUNDS = 12
+from loomline.llm.tokens import sample_texts
+
+#: Bounds of the fit: labelled documents, other documents, bytes of the texts of each, rounds in all and on labelled ones.
+MAX_LABELLED, MAX_LABELLED_BYTES = 4000, 24 << 20
+MAX_OTHER, MAX_OTHER_BYTES = 3000, 16 << 20
+ROUNDS, ALONE = 9, 8
+#: What a labelled document's sentences may still weigh for subjects that its labels don't name.
+STRICT = 1e-6
+#: Closing lines are sentences found again word for word at the end of this share of the documents, and hardly elsewhere;
+#: stock sentences those found in this share of them. So the lists have 2,000 and 500 times as many entries at most as
+#: a document has sentences on average.
+CLOSING, STOCK = 0.0005, 0.002
+#: A word is one of everyday life if it is so many times as frequent outside the labelled documents, significantly.
+EVERYDAY_RATIO, SIGNIFICANT = 2.0, 10.83
+#: A word tells a subject if this share of its labelled documents have that label; one of everyday life stands beside such
+#: words in no more than that share of its sentences.
+SOLE, BESIDE = 0.6, 0.25
 #: A sentence's learned-lexicon vote is sure from this log odds on.
 SURE = 3.0
 SHARE = 0.25
@@ -80,12 +81,33 @@ def split_page(text: str) -> Page:
     return Page(headline, sentences, tail if len(paragraphs) > 1 or headline and paragraphs else 0)
 
 
-def strip_footer(page: Page, footers: set[str]) -> list[str]:
-    """The sentences without closing lines: those of the last paragraph that are known footers or read like one."""
+def sentence_key(sentence: str) -> int:
+    """A 63-bit key of a sentence."""
+    return int.from_bytes(hashlib.blake2b(sentence.encode(), digest_size=8).digest()) >> 1
+
+
+def strip_footer(page: Page, footers: set[int]) -> list[str]:
+    """The sentences without those of the last paragraph that are closing lines."""
     if not page.tail:
         return page.sentences
     body, last = page.sentences[: -page.tail], page.sentences[-page.tail :]
-    return body + [s for s in last if s not in footers and not re.search(FOOTER, s.lower())]
+    return body + [s for s in last if sentence_key(s) not in footers]
+
+
+def count_sentences(pages: Iterator[Page]) -> tuple[Counter, Counter]:
+    """How often each sentence (by key) is found in the last paragraph, and before."""
+    last, before = Counter(), Counter()
+    for p in pages:
+        cut = len(p.sentences) - p.tail
+        before.update(map(sentence_key, p.sentences[:cut]))
+        last.update(map(sentence_key, p.sentences[cut:]))
+    return last, before
+
+
+def repeated(counts: list[tuple[int, int, int]], documents: int) -> tuple[set[int], set[int]]:
+    """(closing lines, stock sentences) from (key, times in the last paragraph, times before)."""
+    closing = {k for k, at_end, before in counts if at_end >= max(3, CLOSING * documents) and before <= 0.1 * at_end}
+    return closing, {k for k, at_end, before in counts if k not in closing and at_end + before >= max(4, STOCK * documents)}
 
 
 def words_of(sentence: str) -> list[str]:
@@ -99,7 +121,9 @@ def source_key(source: str | None) -> str | None:
     return re.sub(r"[\s_]+", " ", source).strip().lower() if source and source.strip() else None
 
 
-FUNCTIONS = ("seeds", "sure words", "unsure words", "address", "section", "source", "document")
+FUNCTIONS = ("description", "sure words", "unsure words", "address", "section", "source", "document")
+#: The functions that draw on the learned lexicon.
+FAMILY = (1, 2, 4, 6)
 
 
 @dataclass
@@ -108,7 +132,8 @@ class Model:
     words: dict[str, int]
     log_odds: np.ndarray  # (words + 1, classes), class-conditional log probabilities; last row zero
     seeds: dict[str, int]
-    footers: set[str]
+    footers: set[int]
+    stock: set[int]
     addresses: dict[str, int] = field(default_factory=dict)
     sources: dict[str, int] = field(default_factory=dict)
     accuracy: np.ndarray = field(default_factory=lambda: np.full(len(FUNCTIONS), 0.7))
@@ -167,27 +192,34 @@ class Model:
         known = out[:, 1] >= 0
         np.add.at(counts, (doc[known], out[known, 1]), 1)
         counts[:, -1] = 0
-        major = np.where((counts.max(axis=1) > 0) & (counts.max(axis=1) >= 0.9 * counts.sum(axis=1)), counts.argmax(axis=1), -1)  # mixed documents say nothing
-        out[:, 6] = np.where(content, major[doc], -1) if len(text) else out[:, 6]
+        if len(text):  # the other sentences of the document; mixed documents say nothing
+            others = counts[doc]
+            own = np.flatnonzero(known & (out[:, 1] < self.classes - 1))
+            others[own, out[own, 1]] -= 1
+            sole = (others.max(axis=1) > 0) & (others.max(axis=1) >= 0.9 * others.sum(axis=1))
+            out[:, 6] = np.where(content & sole, others.argmax(axis=1), -1)
         return doc, out
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         k = self.classes
         log = np.tile(np.log(self.balance if self.balance is not None else np.full(k, 1 / k)), (len(votes), 1))
+        family = np.maximum((votes[:, FAMILY] >= 0).sum(axis=1), 1)
         for j, a in enumerate(self.accuracy):
             voted = np.flatnonzero(votes[:, j] >= 0)
-            log[voted, votes[voted, j]] += np.log(a * (k - 1) / (1 - a))
+            log[voted, votes[voted, j]] += np.log(a * (k - 1) / (1 - a)) / (family[voted] if j in FAMILY else 1)
         log = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
         return log / log.sum(axis=1, keepdims=True) if len(log) else log
 
 
-def _learn_accuracies(model: Model, votes: np.ndarray, rounds: int = 25) -> None:
-    """Expectation-maximisation of the one-coin model: each function is right at a rate of its own."""
+def _learn_accuracies(model: Model, votes: np.ndarray, allowed: np.ndarray, rounds: int = 25) -> None:
+    """Expectation-maximisation of the one-coin model: each function is right at a rate of its own. ``allowed`` says how
+    much each sentence may weigh for each class: labelled documents tie the latent subjects to the named ones."""
     k = model.classes
     model.balance = np.full(k, 1 / k)
     model.accuracy = np.array([0.8, 0.9, 0.7, 0.6, 0.6, 0.5, 0.6])
     for _ in range(rounds):
-        p = model.posterior(votes)
+        p = model.posterior(votes) * allowed
+        p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
         model.balance = (p.sum(axis=0) + 1) / (len(p) + k)
         for j in range(votes.shape[1]):
             voted = np.flatnonzero(votes[:, j] >= 0)
@@ -195,27 +227,63 @@ def _learn_accuracies(model: Model, votes: np.ndarray, rounds: int = 25) -> None
             model.accuracy[j] = np.clip((right + 1) / (len(voted) + 2), 1 / k, 0.995)
 
 
-def train(rows: list[tuple[str, str | None, tuple[str, ...]]], subjects: list[str]) -> Model:
-    """rows: (text, source, hand labels or none). Works without labels too, from the seeds alone."""
+def described(subjects: dict[str, str]) -> dict[str, int]:
+    """The words of the subjects' names and descriptions, in the plural and singular, that only one subject has."""
+    found: dict[str, int] = {}
+    for i, (name, scope) in enumerate(subjects.items()):
+        words = {w for w in _WORD.findall(f"{name} {scope}".lower()) if len(w) > 3}
+        words |= {w[:-3] + "y" for w in words if w.endswith("ies")} | {w[:-1] for w in words if w.endswith("s") and len(w) > 4}
+        for w in words:
+            found[w] = i if found.get(w, i) == i else -1
+    return {w: c for w, c in found.items() if c >= 0}
+
+
+def everyday(bodies: list[list[str]], labels: list[tuple[str, ...]]) -> set[str]:
+    """Words of everyday life: in significantly more documents outside the labelled ones, which are all about some subject,
+    than inside, there not mostly in documents of one subject, and seldom in a sentence with a word that is so."""
+    texts = [[set(words_of(s)) for s in body] for body in bodies]
+    inside, outside, by_subject = Counter(), Counter(), {}
+    for sentences, named in zip(texts, labels, strict=True):
+        found = set().union(*sentences)
+        (inside if named else outside).update(found)
+        for x in named:
+            by_subject.setdefault(x, Counter()).update(found)
+    a, b = sum(map(bool, labels)), sum(not x for x in labels)
+    if not a or not b:
+        return set()
+    share = {w: max(c[w] for c in by_subject.values()) / n for w, n in inside.items()}
+    words = [w for w, n in outside.items() if n >= 5]
+    x, y = np.array([inside[w] for w in words], float), np.array([outside[w] for w in words], float)
+    mean = (x + y) / (a + b)
+    ratio = 2 * (np.where(x > 0, x * np.log(np.maximum(x, 1) / (a * mean)), 0) + y * np.log(y / (b * mean)))
+    picked = {w for w, g, u, v in zip(words, ratio, x, y, strict=True) if g > SIGNIFICANT and v / b >= EVERYDAY_RATIO * u / a and (u < 3 or share[w] < SOLE)}
+    telling = {w for w, n in inside.items() if n >= 3 and share[w] >= SOLE}
+    seen, beside = Counter(), Counter()
+    for sentences, named in zip(texts, labels, strict=True):
+        for s in sentences if not named else ():
+            if here := s & picked:
+                seen.update(here)
+                if not s.isdisjoint(telling):
+                    beside.update(here)
+    return {w for w in picked if beside[w] < BESIDE * seen[w]}
+
+
+def train(rows: list[tuple[str, str | None, tuple[str, ...]]], scopes: dict[str, str], closing: set[int] | None = None, stock_keys: set[int] | None = None) -> Model:
+    """rows: (text, source, hand labels or none); scopes: what each subject covers. Closing lines and stock sentences are
+    found among the rows where they aren't given. Works without labels too, from the descriptions alone."""
+    subjects = list(scopes)
     k = len(subjects) + 2
-    seed_list: dict[str, int] = {}
-    for i, s in enumerate([*subjects, None]):
-        for w in (SEEDS.get(s, s) if s else EVERYDAY).split():
-            seed_list[w] = i if seed_list.get(w, i) == i else -1
-    seeds = {w: c for w, c in seed_list.items() if c >= 0}
     pages = [split_page(t) for t, _, _ in rows]
-    last, before = Counter(), Counter()
-    for p in pages:
-        cut = len(p.sentences) - p.tail
-        before.update(p.sentences[:cut])
-        last.update(p.sentences[cut:])
-    footers = {s for s, n in last.items() if n >= 3 and before[s] <= 0.1 * n}
-    bodies = [strip_footer(p, footers) for p in pages]
-    repeated = Counter(s for b in bodies for s in b)
+    if closing is None or stock_keys is None:
+        last, before = count_sentences(pages)
+        closing, stock_keys = repeated([(s, last[s], before[s]) for s in {*last, *before}], len(rows))
+    bodies = [strip_footer(p, closing) for p in pages]
+    seeds = described(scopes)
+    daily = everyday(bodies, [labels for _, _, labels in rows]) - set(seeds)
     doc = np.repeat(np.arange(len(rows)), [len(b) for b in bodies])
     text = [s for b in bodies for s in b]
     tokens = [words_of(s) for s in text]
-    words: dict[str, int] = {w: i for i, w in enumerate(seeds)}
+    words: dict[str, int] = {w: i for i, w in enumerate([*seeds, *sorted(daily)])}
     for w, n in Counter(w for t in tokens for w in t).items():
         if n >= 2 and w not in words:
             words[w] = len(words)
@@ -223,29 +291,31 @@ def train(rows: list[tuple[str, str | None, tuple[str, ...]]], subjects: list[st
     index = np.fromiter((words[w] for t in tokens for w in t if w in words), np.int64, int(sizes.sum()))
     row = np.repeat(np.arange(len(text)), sizes)
     # Stock sentences, found again word for word in many documents, have no subject.
-    stock = np.array([repeated[s] >= max(4, 0.002 * len(rows)) for s in text], bool) if text else np.zeros(0, bool)
+    stock = np.array([sentence_key(s) in stock_keys for s in text], bool) if text else np.zeros(0, bool)
+    named = np.array([[float(x in labels) for x in subjects] for _, _, labels in rows]).reshape(len(rows), len(subjects))
+    labelled = named.any(axis=1)
     allowed = np.ones((len(rows), k))
-    at = {s: i for i, s in enumerate(subjects)}
-    for d, (_, _, labels) in enumerate(rows):
-        named = [at[x] for x in labels if x in at]
-        if named:  # labels are mostly right and complete
-            allowed[d, : len(subjects)] = 0.05
-            allowed[d, named] = 1.0
-    r = np.full((len(text), k), 1e-3)
+    allowed[labelled, : len(subjects)] = np.where(named[labelled] > 0, 1, STRICT)
+    # To begin with, sentences of labelled documents are about their labels, those with words of everyday life about none;
+    # without any labels, sentences are about what the descriptions' words say.
+    r = np.zeros((len(text), k))
     for i, t in enumerate(tokens):
-        for w in t:
-            if w in seeds:
-                r[i, seeds[w]] += 1
-    r *= allowed[doc] if len(text) else 1
-    labelled = np.array([bool(labels) for _, _, labels in rows])
-    unseeded = r.max(axis=1) < 0.5 if len(text) else np.zeros(0, bool)
-    hinted = unseeded & labelled[doc] if len(text) else unseeded
-    r[unseeded & ~hinted] = 0
+        if labelled[doc[i]]:
+            r[i, : len(subjects)] = named[doc[i]]
+        elif not labelled.any():
+            np.add.at(r[i], [seeds[w] for w in t if w in seeds], 1)
+        n = sum(w in daily for w in t)
+        if n > labelled[doc[i]]:
+            r[i], r[i, k - 2] = 0, 1
+    r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-12)
+    r[labelled[doc]] *= (1 / np.maximum(named.sum(axis=1), 1) ** 2)[doc[labelled[doc]]][:, None]  # sentences of one label teach most
     r[stock] = 0
     r[stock, k - 1] = 1
-    r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-12)
     log_phi = np.zeros((len(words) + 1, k))
-    for _ in range(ROUNDS):
+    apart = ~labelled[doc] & (r[:, : k - 1].sum(axis=1) == 0) & ~stock if labelled.any() else np.zeros(len(text), bool)
+    for n in range(ROUNDS):
+        if n < ALONE:  # first only what is labelled or surely of everyday life teaches, then all sentences
+            r[apart] = 0
         phi = np.stack([np.bincount(index, weights=r[row, c], minlength=len(words)) for c in range(k)], axis=1)
         # A word's rate in a class, smoothed towards its rate overall, so that unseen words say little.
         overall = (phi.sum(axis=1) + 0.1) / (phi.sum() + 0.1 * max(1, len(words)))
@@ -260,7 +330,7 @@ def train(rows: list[tuple[str, str | None, tuple[str, ...]]], subjects: list[st
         r /= r.sum(axis=1, keepdims=True)
         r[stock] = 0
         r[stock, k - 1] = 1
-    model = Model(subjects, words, log_phi, seeds, footers)
+    model = Model(subjects, words, log_phi, described(scopes), closing, stock_keys)
     by_address: dict[str, np.ndarray] = {}
     for i, s in enumerate(text):
         for a in _ADDRESS.finditer(s):
@@ -271,8 +341,13 @@ def train(rows: list[tuple[str, str | None, tuple[str, ...]]], subjects: list[st
         if (key := source_key(source)) is not None:
             by_source.setdefault(key, np.zeros(k))[:] += share[d]
     model.sources = {s: int(v[: k - 1].argmax()) for s, v in by_source.items() if v.sum() >= 2}
-    _, votes = model.votes([(p.headline, b, s) for p, b, (_, s, _) in zip(pages, bodies, rows, strict=True)])
-    _learn_accuracies(model, votes)
+    of, votes = model.votes([(p.headline, b, s) for p, b, (_, s, _) in zip(pages, bodies, rows, strict=True)])
+    taught = labelled[of] if labelled.any() else np.ones(len(of), bool)
+    _learn_accuracies(model, votes[taught], allowed[of[taught]])
+    model.balance = np.full(k, 1 / k)  # that of all sentences: labelled documents are about subjects more than others
+    for _ in range(5):
+        p = model.posterior(votes)
+        model.balance = (p.sum(axis=0) + 1) / (len(p) + k)
     return model
 
 
@@ -301,17 +376,33 @@ def _score(model: Model):
     return run
 
 
+def _repeated_sentences(texts: DataFrame) -> tuple[set[int], set[int]]:
+    """``repeated`` over all documents; only keys and counts are shuffled, and only the frequent ones are gathered."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            last, before = count_sentences(split_page(t) for t in frame["text"])
+            keys = [*{*last, *before}]
+            yield pd.DataFrame({"key": keys, "at_end": [last[k] for k in keys], "before": [before[k] for k in keys]}, dtype="int64")
+
+    counts = texts.select("text").mapInPandas(run, "key long, at_end long, before long").groupBy("key").agg(F.sum("at_end").alias("at_end"), F.sum("before").alias("before"))
+    n = texts.count()
+    often = counts.where((F.col("at_end") >= F.lit(max(3.0, CLOSING * n))) | (F.col("at_end") + F.col("before") >= F.lit(max(4.0, STOCK * n))))
+    return repeated([tuple(r) for r in often.collect()], n)
+
+
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
-    """Trained on at most MAX_LABELLED labelled and MAX_OTHER other documents, chosen by a hash of their id."""
-    from loomline.plans.lineage import bounded_sample
+    """Trained on at most MAX_LABELLED labelled and MAX_OTHER other documents, with texts of at most MAX_LABELLED_BYTES and
+    MAX_OTHER_BYTES, chosen by a hash of their id; closing lines and stock sentences come from all documents."""
+    from loomline.plans.lineage import spread_small
 
-    names = sorted({r.subject.strip().lower() for r in subjects.where("subject is not null").collect()})
+    scopes = {r.s: r.scope or "" for r in subjects.where("subject is not null").select(F.lower(F.trim("subject")).alias("s"), "scope").orderBy("s", "scope").collect()}
     hand = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("labels"))
     texts = documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null")
-    labelled = texts.join(bounded_sample(hand, "doc_id", MAX_LABELLED), "doc_id").select("doc_id", "text", "source", "labels")
-    other = bounded_sample(texts.join(hand.select("doc_id"), "doc_id", "left_anti"), "doc_id", MAX_OTHER).select("doc_id", "text", "source", F.array().cast("array<string>").alias("labels"))
-    rows = sorted(labelled.unionByName(other).collect(), key=lambda r: (r.doc_id, r.text))
-    return train([(r.text, r.source, tuple(sorted(r.labels))) for r in rows], names)
+    labelled = sample_texts(texts.join(hand, "doc_id"), "doc_id", MAX_LABELLED, MAX_LABELLED_BYTES)
+    other = sample_texts(texts.join(hand.select("doc_id"), "doc_id", "left_anti"), "doc_id", MAX_OTHER, MAX_OTHER_BYTES)
+    rows = sorted([(r.doc_id, r.text, r.source, tuple(sorted(r.labels))) for r in labelled] + [(r.doc_id, r.text, r.source, ()) for r in other], key=lambda r: (r[0], r[1]))
+    return train([r[1:] for r in rows], scopes, *_repeated_sentences(spread_small(texts)))
 
 
 def subject_shares(documents: DataFrame, model: Model) -> DataFrame:
