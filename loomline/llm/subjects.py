@@ -4,8 +4,8 @@ Method: labelling functions and an accuracy-learning latent model. Functions vot
 subjects' descriptions, a lexicon learned from labelled documents (sure and unsure votes apart), addresses and tags, the
 section (headline), the source, and the rest of the document. None of their votes is taken as truth:
 expectation-maximisation learns each function's accuracy, and a sentence's subject comes from the posterior. Functions
-that draw on the same lexicon are one family: they count as one vote of their mean strength, since what misleads one
-misleads the others. A document gets the subjects that hold enough of its sentences.
+that draw on the same lexicon are one family of which one speaks for all, since what misleads one misleads the others: the
+sentence's own sure words, or else the most accurate of the rest. A document gets the subjects that hold enough of its sentences.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from loomline.llm.tokens import sample_texts
 #: Bounds of the fit: labelled documents, other documents, bytes of the texts of each, rounds in all and on labelled ones.
 MAX_LABELLED, MAX_LABELLED_BYTES = 4000, 24 << 20
 MAX_OTHER, MAX_OTHER_BYTES = 3000, 16 << 20
-ROUNDS, ALONE = 9, 8
+ROUNDS, ALONE = 10, 8
+#: How much a class with few sentences in a language is raised there at most.
+MOST = 20.0
 #: What a labelled document's sentences may still weigh for subjects that its labels don't name.
 STRICT = 1e-6
 #: Closing lines are sentences found again word for word at the end of this share of the documents, and hardly elsewhere;
@@ -47,6 +49,8 @@ _DATELINE = re.compile(r"^[^\W\d_][^a-z,]*, \d{1,2}\.? [^\W\d_]+ [-–—] ")
 _END = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”»'])\s+")
 _ADDRESS = re.compile(r"https?://(\S+)|#(\w+)")
 _WORD = re.compile(r"[^\W\d_]+")
+_BREAK, _MARKUP, _TAGS = re.compile(r"<(br|p)\s*/?>|</p>"), re.compile(r"<[^<>]{1,40}>"), re.compile(r"[#@]\w+")
+_PARAGRAPH = re.compile(r"\n\s*\n")
 
 
 @dataclass
@@ -58,8 +62,11 @@ class Page:
 
 def split_page(text: str) -> Page:
     """Headline, sentences without dateline and left-over markup, and the size of the last paragraph."""
-    text = html.unescape(re.sub(r"<[^<>]{1,40}>", " ", re.sub(r"<(br|p)\s*/?>|</p>", "\n\n", text)))
-    paragraphs = [[x for x in (line.strip().lstrip("*•-").strip() for line in p.split("\n")) if x] for p in re.split(r"\n\s*\n", text)]
+    if "<" in text:
+        text = _MARKUP.sub(" ", _BREAK.sub("\n\n", text))
+    if "&" in text:
+        text = html.unescape(text)
+    paragraphs = [[x for x in (line.strip().lstrip("*•-").strip() for line in p.split("\n")) if x] for p in _PARAGRAPH.split(text)]
     paragraphs = [p for p in paragraphs if p]
     headline = None
     if paragraphs:
@@ -73,7 +80,7 @@ def split_page(text: str) -> Page:
         tail = 0
         for line in p:
             for s in _END.split(line):
-                if _WORD.search(re.sub(r"[#@]\w+", "", s)):
+                if _WORD.search(_TAGS.sub("", s) if "#" in s or "@" in s else s):
                     sentences.append(s)
                     tail += 1
                 elif sentences and s.strip():
@@ -122,7 +129,7 @@ def source_key(source: str | None) -> str | None:
 
 
 FUNCTIONS = ("description", "sure words", "unsure words", "address", "section", "source", "document")
-#: The functions that draw on the learned lexicon.
+#: The functions that draw on the learned lexicon; the first speaks for the others.
 FAMILY = (1, 2, 4, 6)
 
 
@@ -157,8 +164,9 @@ class Model:
         index = np.array([get(w, unknown) for s in sentences for w in s], np.int64)
         out, seen = np.zeros((len(sentences), self.classes)), np.zeros((len(sentences), self.classes), np.int64)
         row = np.repeat(np.arange(len(sentences)), sizes)
-        for c in range(self.classes):
-            out[:, c] = np.bincount(row, weights=self.log_odds[index, c], minlength=len(sentences))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(self.log_odds[index], np.r_[0, np.cumsum(sizes[full])[:-1]], axis=0)
         seed = self.seed_class[index]
         np.add.at(seen, (row[seed >= 0], seed[seed >= 0]), 1)
         return out, seen
@@ -203,10 +211,13 @@ class Model:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         k = self.classes
         log = np.tile(np.log(self.balance if self.balance is not None else np.full(k, 1 / k)), (len(votes), 1))
-        family = np.maximum((votes[:, FAMILY] >= 0).sum(axis=1), 1)
-        for j, a in enumerate(self.accuracy):
-            voted = np.flatnonzero(votes[:, j] >= 0)
-            log[voted, votes[voted, j]] += np.log(a * (k - 1) / (1 - a)) / (family[voted] if j in FAMILY else 1)
+        spoken = np.zeros(len(votes), bool)
+        for j in (*FAMILY[:1], *sorted(FAMILY[1:], key=lambda j: -self.accuracy[j]), *(j for j in range(len(FUNCTIONS)) if j not in FAMILY)):
+            heard = (votes[:, j] >= 0) & ~spoken if j in FAMILY else votes[:, j] >= 0
+            if j in FAMILY:
+                spoken |= heard
+            voted, a = np.flatnonzero(heard), self.accuracy[j]
+            log[voted, votes[voted, j]] += np.log(a * (k - 1) / (1 - a))
         log = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
         return log / log.sum(axis=1, keepdims=True) if len(log) else log
 
@@ -268,9 +279,10 @@ def everyday(bodies: list[list[str]], labels: list[tuple[str, ...]]) -> set[str]
     return {w for w in picked if beside[w] < BESIDE * seen[w]}
 
 
-def train(rows: list[tuple[str, str | None, tuple[str, ...]]], scopes: dict[str, str], closing: set[int] | None = None, stock_keys: set[int] | None = None) -> Model:
-    """rows: (text, source, hand labels or none); scopes: what each subject covers. Closing lines and stock sentences are
-    found among the rows where they aren't given. Works without labels too, from the descriptions alone."""
+def train(rows: list[tuple[str, str | None, tuple[str, ...]]], scopes: dict[str, str], closing: set[int] | None = None, stock_keys: set[int] | None = None, languages: list[str | None] | None = None) -> Model:
+    """rows: (text, source, hand labels or none); scopes: what each subject covers; languages: of the texts, as far as
+    known. Closing lines and stock sentences are found among the rows where they aren't given. Works without labels
+    too, from the descriptions alone."""
     subjects = list(scopes)
     k = len(subjects) + 2
     pages = [split_page(t) for t, _, _ in rows]
@@ -312,11 +324,18 @@ def train(rows: list[tuple[str, str | None, tuple[str, ...]]], scopes: dict[str,
     r[stock] = 0
     r[stock, k - 1] = 1
     log_phi = np.zeros((len(words) + 1, k))
+    names = {x: i for i, x in enumerate(dict.fromkeys(languages or [None]))}
+    tongue = np.array([names[x] for x in languages], np.int64)[doc] if languages else np.zeros(len(text), np.int64)
+    tongues = len(names)
     apart = ~labelled[doc] & (r[:, : k - 1].sum(axis=1) == 0) & ~stock if labelled.any() else np.zeros(len(text), bool)
     for n in range(ROUNDS):
         if n < ALONE:  # first only what is labelled or surely of everyday life teaches, then all sentences
             r[apart] = 0
-        phi = np.stack([np.bincount(index, weights=r[row, c], minlength=len(words)) for c in range(k)], axis=1)
+        # Within a language all classes weigh the same, so that its common words don't speak for the class with most labels.
+        mass = np.stack([np.bincount(tongue, weights=r[:, c], minlength=tongues) for c in range(k)], axis=1)
+        even = mass.sum(axis=1, keepdims=True) / np.maximum((mass > 0).sum(axis=1, keepdims=True), 1) / np.maximum(mass, 1e-9)
+        level = r * np.minimum(even, MOST)[tongue]
+        phi = np.stack([np.bincount(index, weights=level[row, c], minlength=len(words)) for c in range(k)], axis=1)
         # A word's rate in a class, smoothed towards its rate overall, so that unseen words say little.
         overall = (phi.sum(axis=1) + 0.1) / (phi.sum() + 0.1 * max(1, len(words)))
         rate = (phi + 30 * overall[:, None] * 0.05 + 0.02 * overall[:, None]) / (phi.sum(axis=0) + 30 * 0.05 + 0.02)
@@ -398,11 +417,11 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
 
     scopes = {r.s: r.scope or "" for r in subjects.where("subject is not null").select(F.lower(F.trim("subject")).alias("s"), "scope").orderBy("s", "scope").collect()}
     hand = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("labels"))
-    texts = documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null")
+    texts = documents.select("doc_id", "text", "source", F.lower(F.trim("lang")).alias("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")).where("doc_id is not null and text is not null")
     labelled = sample_texts(texts.join(hand, "doc_id"), "doc_id", MAX_LABELLED, MAX_LABELLED_BYTES)
     other = sample_texts(texts.join(hand.select("doc_id"), "doc_id", "left_anti"), "doc_id", MAX_OTHER, MAX_OTHER_BYTES)
-    rows = sorted([(r.doc_id, r.text, r.source, tuple(sorted(r.labels))) for r in labelled] + [(r.doc_id, r.text, r.source, ()) for r in other], key=lambda r: (r[0], r[1]))
-    return train([r[1:] for r in rows], scopes, *_repeated_sentences(spread_small(texts)))
+    rows = sorted([(r.doc_id, r.text, r.source, tuple(sorted(r.labels)), r.lang) for r in labelled] + [(r.doc_id, r.text, r.source, (), r.lang) for r in other], key=lambda r: (r[0], r[1]))
+    return train([r[1:4] for r in rows], scopes, *_repeated_sentences(spread_small(texts)), [r[4] for r in rows])
 
 
 def subject_shares(documents: DataFrame, model: Model) -> DataFrame:
