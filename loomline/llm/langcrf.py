@@ -10,10 +10,12 @@ it is written like a name, and the likelihood of all allowed labellings is maxim
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -287,7 +289,7 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
     code = [np.array([vocabulary[w] for w in ws]) for _, ws in rows]
     label = [np.array(ks) for ks, _ in rows]
     batches = []
-    for picked in _batches(lengths, 120_000):
+    for picked in _batches(lengths, 30_000):
         t = int(lengths[picked].max())
         c, y = np.zeros((len(picked), t), np.int64), np.zeros((len(picked), t), np.int64)
         for r, i in enumerate(picked):
@@ -302,25 +304,28 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
     params = [model.weights, model.transitions, model.start]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = float(lengths.sum())
+    pool = ThreadPoolExecutor(max(1, min(8, os.cpu_count() or 1)))  # numpy's loops run beside each other
     for step in range(1, epochs + 1):
         emissions = np.zeros((len(words), STATES), np.float32)
         for where, index, weight in blocks:
             emissions[where] = np.einsum("vfs,vf->vs", model.weights[index], weight)
         emissions += script
-        by_word, by_pair, by_start = np.zeros((len(words), STATES)), np.zeros((CHAIN, CHAIN)), np.zeros(CHAIN)
-        for c, allowed, n in batches:
-            scores = spread(emissions)[c]
+        chain = spread(emissions)
+
+        def part(batch: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            c, allowed, n = batch
+            scores = chain[c]  # noqa: B023
             free = forward_backward(scores, n, model.transitions, model.start)
             bound = forward_backward(np.where(allowed, scores, -1e4), n, model.transitions, model.start)
-            error = gather(bound[0] - free[0]).reshape(-1, STATES)
-            flat = c.ravel()
-            by_word += np.stack([np.bincount(flat, weights=error[:, s], minlength=len(words)) for s in range(STATES)], axis=1)
-            by_pair += bound[1] - free[1]
-            by_start += bound[2] - free[2]
-        gradient = np.zeros_like(model.weights)
-        for where, index, weight in blocks:
-            for s in range(STATES):
-                gradient[:, s] += np.bincount(index.ravel(), weights=(by_word[where, s, None] * weight).ravel(), minlength=PAD + 1)
+            error, flat = gather(bound[0] - free[0]).reshape(-1, STATES), c.ravel()
+            return np.stack([np.bincount(flat, weights=error[:, s], minlength=len(words)) for s in range(STATES)], axis=1), bound[1] - free[1], bound[2] - free[2]
+
+        by_word, by_pair, by_start = (sum(x) for x in zip(*pool.map(part, batches), strict=True))  # in the order of the batches
+
+        def by_state(s: int) -> np.ndarray:
+            return sum(np.bincount(index.ravel(), weights=(by_word[where, s, None] * weight).ravel(), minlength=PAD + 1) for where, index, weight in blocks)  # noqa: B023
+
+        gradient = np.stack(list(pool.map(by_state, range(STATES))), axis=1)
         grads = [gradient / total - 2e-7 * model.weights, by_pair / total, by_start / total]
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -328,6 +333,7 @@ def _fit(model: Model, rows: list[tuple[list[int], list[str]]], names: set[str],
             # The floor keeps features of few words from moving as far as those of many.
             p += (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + FLOOR)).astype(p.dtype)
         model.weights[PAD] = 0
+    pool.shutdown()
 
 
 def _decode(model: Model, records: list[list[str]]) -> list[np.ndarray]:
@@ -357,15 +363,14 @@ def passages(states: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, i
             runs[-1][1], runs[-1][3] = i + 1, runs[-1][3] + (not repeated[i])
         else:
             runs.append([i, i + 1, states[i], 1])
-    changed = True
-    while changed:
-        changed = False
-        for k in range(1, len(runs) - 1):
-            if runs[k][3] <= 2 and runs[k - 1][2] == runs[k + 1][2]:
-                runs[k - 1 : k + 2] = [[runs[k - 1][0], runs[k + 1][1], runs[k - 1][2], runs[k - 1][3] + runs[k + 1][3]]]
-                changed = True
-                break
-    return [tuple(int(x) for x in r) for r in runs]
+    out: list[list[int]] = []
+    for run in runs:  # one pass: a run may close over the short one between it and the last of its language
+        out.append(run)
+        while len(out) >= 3 and out[-2][3] <= 2 and out[-3][2] == out[-1][2]:
+            last = out.pop()
+            out.pop()
+            out[-1][1], out[-1][3] = last[1], out[-1][3] + last[3]
+    return [tuple(int(x) for x in r) for r in out]
 
 
 LABELLED = "id long, lang string, confidence double, n_words int, passages array<struct<first:int,past:int,lang:string,words:int,confidence:double>>"
@@ -403,10 +408,13 @@ def fit(df: DataFrame, id_col: str = "ord", text_col: str = "tok_lang", tokens_c
     """The model trained on at most ``max_records`` records with a usable label, chosen by a hash of their id."""
     from loomline.plans.lineage import bounded_sample
 
-    spread = "|".join(_CODES)
-    usable = df.select(id_col, text_col, tokens_col, F.lower(F.trim(label_col)).alias("label")).where(F.col(text_col).isNotNull() & F.col(tokens_col).isNotNull() & F.col("label").rlike(f"^({spread})([-_].*)?$"))
-    rows = bounded_sample(usable, id_col, max_records).collect()
-    return train([(label_code(r.label), r[text_col], [t for t in r[tokens_col] if t]) for r in rows])
+    usable = df.where(F.col(id_col).isNotNull() & F.lower(F.trim(label_col)).rlike(f"^({'|'.join(_CODES)})([-_].*)?$"))
+    # Ids are chosen first, so that texts and tokens move for the chosen records only.
+    chosen = [r[id_col] for r in bounded_sample(usable.select(id_col).distinct(), id_col, max_records).collect()]
+    picked = df.sparkSession.createDataFrame([(i,) for i in chosen], f"{id_col} {dict(df.dtypes)[id_col]}")
+    rows = usable.join(F.broadcast(picked), id_col, "left_semi").where(F.col(text_col).isNotNull() & F.col(tokens_col).isNotNull())
+    rows = {r[id_col]: r for r in rows.select(id_col, text_col, tokens_col, label_col).collect()}  # redeliveries fold
+    return train([(label_code(rows[i][label_col]), rows[i][text_col], [t for t in rows[i][tokens_col] if t]) for i in chosen if i in rows])
 
 
 def label_languages(df: DataFrame, model: Model, id_col: str = "ord", text_col: str = "tok_lang") -> DataFrame:
@@ -419,16 +427,11 @@ def label_languages(df: DataFrame, model: Model, id_col: str = "ord", text_col:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(_labeller(model), LABELLED)
 
 
-def _tweets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from loomline.plans.lineage import once_per_key
-
-    rows = once_per_key(df.select("ord", "lang_det", "tok_lang", "tokens"), "ord")
-    return rows, label_languages(rows.select("ord", "tok_lang"), fit(rows))
-
-
 def languages(df: DataFrame) -> DataFrame:
     """(ord, lang, confidence, n_words, passages), each tweet once."""
-    return _tweets(df)[1].withColumnRenamed("id", "ord")
+    from loomline.plans.lineage import once_per_key
+
+    return label_languages(once_per_key(df.select("ord", "tok_lang"), "ord"), fit(df)).withColumnRenamed("id", "ord")
 
 
 def found(df: DataFrame) -> DataFrame:
@@ -436,10 +439,8 @@ def found(df: DataFrame) -> DataFrame:
     each language that has a passage of five words or more."""
     from loomline.plans.lineage import once_per_key
 
-    rows = once_per_key(df.select("ord", "lang_det", "tok_lang", "tokens"), "ord")
-    model = fit(rows)
     # The label travels along with the text, so that no join is needed afterwards.
-    return rows.select("ord", "lang_det", "tok_lang").mapInPandas(_judge(model), "ord long, lang string")
+    return once_per_key(df.select("ord", "lang_det", "tok_lang"), "ord").mapInPandas(_judge(fit(df)), "ord long, lang string")
 
 
 def _judge(model: Model):

@@ -283,6 +283,24 @@ def test_passages():
     assert langcrf.passages(np.array([1, 1, 1]), np.array([False, True, True])) == [(0, 3, 1, 1)]
 
 
+def test_passages_take_one_pass():
+    def slowly(states):
+        runs = []
+        for i, x in enumerate(states):
+            if runs and runs[-1][2] == x:
+                runs[-1][1], runs[-1][3] = i + 1, runs[-1][3] + 1
+            else:
+                runs.append([i, i + 1, x, 1])
+        while k := next((k for k in range(1, len(runs) - 1) if runs[k][3] <= 2 and runs[k - 1][2] == runs[k + 1][2]), 0):
+            runs[k - 1 : k + 2] = [[runs[k - 1][0], runs[k + 1][1], runs[k - 1][2], runs[k - 1][3] + runs[k + 1][3]]]
+        return [tuple(r) for r in runs]
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        states = np.repeat(rng.integers(0, 3, 30), rng.integers(1, 5, 30))
+        assert langcrf.passages(states, np.zeros(len(states), bool)) == slowly(states.tolist())
+
+
 def test_held_out_accuracy(data):
     """Trained on half of the labelled tweets of a small table, the labels of the other half are found again."""
     frame = pd.read_parquet(data.replace("0.001", "0.01") + "/tweets.parquet", columns=["ord", "lang_det", "tok_lang", "tokens"]).drop_duplicates("ord").dropna(subset=["tok_lang"])
