@@ -7,7 +7,6 @@ bases and marks recomposed, and the strings rebuilt.
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 
@@ -22,6 +21,10 @@ GREEK_FORM = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυκγϲϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXaivopukycj"
 LATIN_FORM = "ɑɡıɩʏᴄᴏᴠᴡᴢꓑꓖ"
 LATIN_AS_LATIN = "agiiycovwzPG"
+ARMENIAN_FORM = "հոսցօՍՕ"
+ARMENIAN_AS_LATIN = "hnugoUO"
+CHEROKEE_FORM = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ"
+CHEROKEE_AS_LATIN = "ABCDEGHJKLMPRSTVWZ"
 LATIN_TWIN = "ABEKMHOPCTYXaeopcyx"
 LATIN_AS_CYRILLIC = "АВЕКМНОРСТУХаеорсух"
 # Letters of the Cyrillic block that ordinary Russian doesn't use but that look Latin.
@@ -29,6 +32,8 @@ ODD_CYRILLIC = "ЅІЈҮԌԚԜѕіјһӏԁԛԝү"
 APOSTROPHES = "‘’‛ʼ′＇ʹʻ"
 HYPHENS = "‐‑‒–−﹣－­"[:-1]
 JOINERS = "‍︎️"
+#: Class of conjoining vowels and trails: they stand with what is before them, behind its marks.
+JOINED = 300
 #: Kinds of compatibility decomposition that keep the look of a letter.
 SAME_LOOK = {"<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
@@ -78,25 +83,61 @@ def decomposition_rows() -> list[tuple[str, list[tuple[str, int]]]]:
             out = _spread(ch)
             if out != ch or unicodedata.combining(ch):
                 rows.append((ch, [(c, unicodedata.combining(c)) for c in out]))
+            elif VOWELS[0] <= n <= VOWELS[1] or TRAILS[0] <= n <= TRAILS[1]:
+                rows.append((ch, [(ch, JOINED)]))
     return [("\t", [(" ", -2)]), ("\n", [(" ", -2)]), ("\r", [(" ", -2)]), (" ", [(" ", -2)]), *rows]
 
 
-def composition_pairs() -> dict[str, str]:
-    """base + mark -> composed character, from the primary composites of Unicode."""
-    pairs = {}
+def composition_rows() -> list[tuple[str, dict[str, str]]]:
+    """(base, {character so far + mark: composed character}): for each base all that marks make of it step by step, from
+    the primary composites of Unicode. Bounded by Unicode, as are the steps of one base."""
+    pairs: dict[str, dict[str, str]] = {}
     for n in range(0x80, 0x30000):
         ch = chr(n)
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and len(p := d.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
             base, mark = (chr(int(x, 16)) for x in p)
             if unicodedata.combining(mark) and not unicodedata.combining(base):
-                pairs[base + mark] = ch
-    return pairs
+                pairs.setdefault(base, {})[mark] = ch
 
+    def steps(base: str) -> dict[str, str]:
+        out = {}
+        for mark, ch in pairs.get(base, {}).items():
+            out[base + mark] = ch
+            out |= steps(ch)
+        return out
 
-def _alike_rows() -> list[tuple[str, str, str, int, int, int]]:
-    """(character, in Latin, in Cyrillic, surely Latin, surely Cyrillic, odd)."""
-    latin = dict(zip(CYRILLIC_FORM + GREEK_FORM + LATIN_FORM, CYRILLIC_AS_LATIN + GREEK_AS_LATIN + LATIN_AS_LATIN, strict=True))
+    return [(base, steps(base)) for base in sorted(pairs)]
+
+
+# Conjoining Hangul letters: first and last of leading consonants, vowels and trailing consonants, and the first syllable.
+LEADS, VOWELS, TRAILS, SYLLABLES = (0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), 0xAC00
+
+
+def _hangul(base: Column, mark: Column) -> Column:
+    """The syllable of a leading consonant and a vowel, or of a syllable without trail and a trailing consonant, by
+    arithmetic; null for anything else."""
+    b, m = F.ascii(base), F.ascii(mark)
+    vowels, trails = VOWELS[1] - VOWELS[0] + 1, TRAILS[1] - TRAILS[0] + 2
+    lead = b.between(*LEADS) & m.between(*VOWELS)
+    open_ = b.between(SYLLABLES, SYLLABLES + (LEADS[1] - LEADS[0] + 1) * vowels * trails - 1) & ((b - SYLLABLES) % trails == 0) & m.between(*TRAILS)
+    code = F.when(lead, ((b - LEADS[0]) * vowels + (m - VOWELS[0])) * trails + SYLLABLES).when(open_, b + m - (TRAILS[0] - 1))
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def read_confusables(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(character, Latin letter) pairs of a table in the format of Unicode's confusables ('0261 ; 0067 ; MA # ...'), as far
+    as one character stands for one basic Latin letter. The public table has some 6,000 lines."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*[0-9A-Fa-f]{4,6}\s*;\s*[0-9A-Fa-f]{4}\s*;"))
+    codes = [r.value.split(";")[:2] for r in lines.collect()]
+    pairs = [(chr(int(a.strip(), 16)), chr(int(b.strip(), 16))) for a, b in codes]
+    return tuple(sorted({(a, b) for a, b in pairs if not a.isascii() and b.isascii() and b.isalpha() and a.isalpha()}))
+
+
+def _alike_rows(more: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str, str, int, int, int]]:
+    """(character, in Latin, in Cyrillic, surely Latin, surely Cyrillic, odd); ``more`` adds look-alikes of Latin letters."""
+    foreign = GREEK_FORM + LATIN_FORM + ARMENIAN_FORM + CHEROKEE_FORM + "".join(c for c, _ in more)
+    latin = dict(more) | dict(zip(CYRILLIC_FORM + GREEK_FORM + LATIN_FORM + ARMENIAN_FORM + CHEROKEE_FORM, CYRILLIC_AS_LATIN + GREEK_AS_LATIN + LATIN_AS_LATIN + ARMENIAN_AS_LATIN + CHEROKEE_AS_LATIN, strict=True))
     cyrillic = dict(zip(LATIN_TWIN, LATIN_AS_CYRILLIC, strict=True))
     rows = []
     letters = {*latin, *cyrillic, *map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0x400, 0x530)), *map(chr, range(0xC0, 0x250))}
@@ -105,15 +146,15 @@ def _alike_rows() -> list[tuple[str, str, str, int, int, int]]:
             continue
         is_cyrillic = 0x400 <= ord(c) < 0x530
         is_latin = ord(c) < 0x250
-        odd = c in ODD_CYRILLIC or c in GREEK_FORM or c in LATIN_FORM
+        odd = c in ODD_CYRILLIC or c in foreign
         rows.append((c, latin.get(c), cyrillic.get(latin.get(c, c)), int(is_latin and c not in cyrillic and not odd), int(is_cyrillic and c not in latin), int(odd)))
     return rows
 
 
-def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _tables(spark: SparkSession, more: tuple[tuple[str, str], ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     decomp = spark.createDataFrame(decomposition_rows(), "ch string, parts array<struct<c string, ccc int>>")
-    alike = spark.createDataFrame(_alike_rows(), "c string, latin string, cyrillic string, sure_latin int, sure_cyrillic int, odd int")
-    return decomp, alike
+    alike = spark.createDataFrame(_alike_rows(more), "c string, latin string, cyrillic string, sure_latin int, sure_cyrillic int, odd int")
+    return decomp, alike, spark.createDataFrame(composition_rows(), "base string, steps map<string,string>")
 
 
 def _context(tokens: Column, pos: Column) -> Column:
@@ -138,10 +179,11 @@ def suspects(df: DataFrame, id_col: str = "ord", tokens_col: str = "tokens") ->
     return picked.select(id_col, "pos", "token", F.when(twin(F.col("token")), _context(F.col("tokens"), F.col("pos"))).otherwise("L").alias("ctx")).dropDuplicates([id_col, "pos"])
 
 
-def canonical_forms(tokens: DataFrame) -> DataFrame:
-    """(token, ctx, canon) for the distinct (token, ctx) of the input. A null token gives no row, an empty one stays empty."""
+def canonical_forms(tokens: DataFrame, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(token, ctx, canon) for the distinct (token, ctx) of the input. A null token gives no row, an empty one stays empty.
+    ``more``: further look-alikes of Latin letters, as ``read_confusables`` gives them."""
     spark = tokens.sparkSession
-    decomp, alike = _tables(spark)
+    decomp, alike, composed = _tables(spark, more)
     chars = tokens.where("token is not null").select("token", "ctx", F.posexplode(F.split("token", "")).alias("p", "ch"))
     parts = chars.join(F.broadcast(decomp), "ch", "left").select("token", "ctx", "p", "ch", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"))))).alias("q", "x"))
     parts = parts.select("token", "ctx", "p", "q", F.col("x.c").alias("c"), F.col("x.ccc").alias("ccc")).join(F.broadcast(alike), "c", "left")
@@ -168,11 +210,10 @@ def canonical_forms(tokens: DataFrame) -> DataFrame:
     )
     parts = parts.select("token", "ctx", "p", "q", "cluster", "ccc", out.alias("c"))
     clusters = parts.groupBy("token", "ctx", "cluster").agg(F.sort_array(F.collect_list(F.struct(F.greatest("ccc", F.lit(0)).alias("k"), "p", "q", "c"))).alias("xs"))
-    pairs = F.from_json(F.lit(json.dumps(composition_pairs(), ensure_ascii=False)), "map<string,string>")
     start = F.struct(F.element_at("xs", 1)["c"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def compose(acc: Column, x: Column) -> Column:
-        joined = F.element_at(pairs, F.concat(acc["base"], x["c"]))
+        joined = F.coalesce(F.element_at("steps", F.concat(acc["base"], x["c"])), _hangul(acc["base"], x["c"]))
         free = (acc["rest"] == "") | (acc["last"] < x["k"])
         return F.when(free & joined.isNotNull(), F.struct(joined.alias("base"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
             F.struct(acc["base"].alias("base"), F.concat(acc["rest"], x["c"]).alias("rest"), x["k"].alias("last"))
@@ -180,6 +221,8 @@ def canonical_forms(tokens: DataFrame) -> DataFrame:
 
     folded = F.aggregate(F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0))), start, compose, lambda a: F.concat(a["base"], a["rest"]))
     text = F.when(F.size("xs") == 1, F.element_at("xs", 1)["c"]).otherwise(folded)
+    # The steps of each cluster's base come by a broadcast join; marks that stand alone keep null.
+    clusters = clusters.withColumn("base", F.element_at("xs", 1)["c"]).join(F.broadcast(composed), "base", "left")
     built = clusters.select("token", "ctx", "cluster", text.alias("s")).groupBy("token", "ctx").agg(F.sort_array(F.collect_list(F.struct("cluster", "s"))).alias("ss"))
     joined = F.array_join(F.transform("ss", lambda x: x["s"]), "")
     return built.select("token", "ctx", F.trim(F.regexp_replace(joined, " +", " ")).alias("canon"))

@@ -140,7 +140,10 @@ def word_cells(df: DataFrame, id_col: str, words: Column, time_col: str, hours:
 
 def similar_cells(cells: DataFrame, hours: int, threshold: Fraction, tolerance: float = 1e-6) -> DataFrame:
     """(a, b): pairs of different cells, a < b, alike enough and possibly near enough in time."""
-    keys = cells.select("cell", "slot", "n", "lo", "hi", "words").mapInPandas(_prefix_rows(_word_order(cells), threshold), KEYS)
+    from loomline.plans.lineage import cut
+
+    # Four sides of the joins below read the sketches, which are costly: they are made once.
+    keys = cut(cells.select("cell", "slot", "n", "lo", "hi", "words").mapInPandas(_prefix_rows(_word_order(cells), threshold), KEYS))
     span = hours * 3_600_000_000
     num, den = threshold.numerator, threshold.denominator
     side = lambda s: keys.select(*[F.col(c).alias(f"{s}_{c}") for c in keys.columns])
@@ -187,7 +190,9 @@ def near_groups(df: DataFrame, id_col: str, words: Column, time_col: str, hours:
     """(id, cell, group, links): for each id with enough words its class of equal texts, the group of classes it is
     linked to over any chain of similar pairs (named by its least id), and the number of classes its class is similar to.
 
-    Copies aren't expanded into pairs; classes of one word set in neighbouring time slots are linked like others.
+    The form to use where texts have many copies: ``near_pairs`` gives every pair of ids, and so the square of the number
+    of copies. Here copies aren't expanded; classes of one word set in neighbouring time slots are linked like others.
+    A class joins a group by its first and last time, so two classes are linked if any of their members can be near.
     """
     from loomline.plans.lineage import cut
 

@@ -76,6 +76,22 @@ def test_composition_matches_unicode(spark):
     assert {w: got[w] for w in words} == {w: unicodedata.normalize("NFC", w) for w in words}
 
 
+def test_hangul_composes(spark):
+    words = ["한국어", "서울", "값", "각가", "뷁"]
+    apart = [unicodedata.normalize("NFD", w) for w in words]
+    got = {r.token: r.canon for r in lookalike.canonical_forms(spark.createDataFrame([(w, "L") for w in words + apart], "token string, ctx string")).collect()}
+    assert [got[a] for a in apart] == words == [got[w] for w in words]
+
+
+def test_more_lookalikes(spark, tmp_path):
+    assert rows(lookalike.canonical_forms(spark.createDataFrame([("gօօd", "L"), ("ᎪᏢᏢle", "L")], "token string, ctx string")).select("canon")) == [("APPle",), ("good",)]
+    (tmp_path / "c.txt").write_text("# comment\nA4F3 ;\t0044 ;\tMA\t# x\n0041 ; 0042 ; MA\n1F100 ; 0030 002E ; MA\n")
+    more = lookalike.read_confusables(spark, str(tmp_path / "c.txt"))
+    assert more == (("\uA4F3", "D"),)
+    frame = spark.createDataFrame([("\uA4F3ay", "L")], "token string, ctx string")
+    assert rows(lookalike.canonical_forms(frame, more).select("canon")) == [("Day",)] and rows(lookalike.canonical_forms(frame).select("canon")) == [("\uA4F3ay",)]
+
+
 # ------------------------------------------------------------------ 2: frequencies
 def test_frequencies_against_counter(spark):
     rng = random.Random(1)
