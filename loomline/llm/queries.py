@@ -54,11 +54,11 @@ def _sound_packing(documents: DataFrame, containers: DataFrame) -> DataFrame:
 
 def _met_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, met): for each source with a share and records, whether its part of what such sources have came within a
-    twentieth of the wanted part, or within a hundredth of the whole."""
+    twentieth of the wanted part, a hundredth of the whole, or one record of the source's mean size: records are used whole."""
     got = mixing.shares(documents, targets).where("target_share > 0 and labelled_tokens > 0")
     whole = Window.partitionBy()  # one row a source
     part = lambda c: F.col(c) / F.sum(c).over(whole)
-    return got.select("source", (F.abs(part("reached_share") - part("target_share")) <= F.greatest(F.lit(0.01), part("target_share") / 20)).alias("met"))
+    return got.select("source", (F.abs(part("reached_share") - part("target_share")) <= F.greatest(F.lit(0.01), part("target_share") / 20, F.col("tokens") / F.col("records") / F.sum("tokens").over(whole))).alias("met"))
 
 
 def _sound_subjects(documents: DataFrame, labels: DataFrame, subjects_: DataFrame) -> DataFrame:
