@@ -99,14 +99,18 @@ def dedup_key(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= 6, F.array_join(F.slice(tokens, F.lit(1), n), " ")).otherwise(F.lower(F.array_join(tokens, " ")))
 
 
-def source_domain(link: Column) -> Column:
+def source_domain(link: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Registered domain of a link, null if it isn't http(s) or its host is a number address. The target of a
-    redirector counts instead of the redirector."""
+    redirector counts instead of the redirector. ``suffixes`` are the registries of two parts or more under which domains
+    are sold, such as the public list of them."""
     at = F.instr(link, "redir.asp?URL=")
     target = F.when(at > 1, F.regexp_extract(link, r"^.*redir\.asp\?URL=(.*)$", 1)).otherwise(link)
     host = F.lower(F.regexp_extract(target, r"^http[^:]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    long = F.lit(False)
-    for s in SUFFIXES:
-        long = long | host.endswith("." + s)
-    domain = F.when(long, F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
-    return F.when(target.startswith("http") & (host != "") & ~host.rlike(r"^[0-9]+(\.[0-9]+){3}$") & (domain != ""), domain)
+    labels = F.split(host, r"\.")
+    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    parts = F.lit(2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):  # the longest registry that fits counts
+        known = F.array(*[F.lit(s) for s in suffixes if s.count(".") + 1 == n])
+        parts = F.when((F.size(labels) > n) & F.array_contains(known, tail(n)), n + 1).otherwise(parts)
+    domain = F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, F.size(labels) - parts + 1, parts), ".")).otherwise(F.lit(""))
+    return F.when(target.startswith("http") & (host != "") & ~host.rlike(r"^[0-9]+(\.[0-9]+){3}$") & ~F.array_contains(labels, "") & (domain != ""), domain)

@@ -29,6 +29,8 @@ DASHES = "(?:--+|―)"
 NOTES = "[♫]+"
 APOSTROPHE = r"\S+'\S+"
 QUOTES = "'\"“”‘’<>«»{}()\\[\\]"
+#: Blanks as ``str.split`` knows them, for the same cut in patterns.
+BLANKS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Words that never count as language, and shapes that no proper word has.
 NOT_LANGUAGE = {"rt", "retweet", "via", "(", ")", "-", "/via", "/", "//", "=", "%", "|"}
 

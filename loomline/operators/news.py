@@ -92,7 +92,7 @@ def segment_stories(paragraphs: DataFrame) -> DataFrame:
     without source; links to nothing valid make a paragraph's terms not count; empty paragraphs are passed over; what
     comes after the last end is dropped. Stories are numbered from 1 within a file. The window is over one page.
     """
-    domains = F.array_distinct(F.filter(F.transform("hrefs", source_domain), lambda d: d.isNotNull()))
+    domains = F.array_distinct(F.filter(F.transform("hrefs", lambda h: source_domain(h)), lambda d: d.isNotNull()))
     linked = F.size("hrefs") > 0
     no_link = ~linked & (F.array_join("strings", "\x00") == F.lit("No\x00link"))
     rows = paragraphs.withColumn("domains", domains)
@@ -166,12 +166,24 @@ def day_index(days: DataFrame, day_col: str = "day") -> Column:
 
 
 def index_encode(counts: DataFrame, terms: DataFrame, sources: DataFrame) -> DataFrame:
-    """(day_id, uid, idx, cnt): facts with their ids; a fact without an id is an error."""
-    joined = counts.join(terms.select("term", "idx"), "term", "left").join(sources, "source", "left").withColumn("day_id", day_index(counts))
+    """(day_id, uid, idx, cnt): facts with their ids; a fact without an id or two facts of one cell are an error
+    (``last_of_cell`` picks one of them)."""
+    joined = assert_single(counts).join(terms.select("term", "idx"), "term", "left").join(sources, "source", "left").withColumn("day_id", day_index(counts))
     known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"no {c} for a fact")).cast("int")).otherwise(F.col(c))
     return joined.select("day_id", known("uid").alias("uid"), known("idx").alias("idx"), "cnt")
 
 
+def last_of_cell(facts: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """(day, source, term, cnt): of several facts of one cell the one written last, that is of the greatest ordinal."""
+    return facts.groupBy("day", "source", "term").agg(F.max_by("cnt", ordinal).alias("cnt"))
+
+
+def assert_single(facts: DataFrame) -> DataFrame:
+    """The facts as they are; an error where two are of one cell."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("day", "source", "term"))
+    return facts.withColumn("_n", n).withColumn("cnt", F.when(F.col("_n") > 1, F.raise_error(F.lit("two facts of one cell")).cast("long")).otherwise(F.col("cnt"))).drop("_n")
+
+
 def month_rollup(counts: DataFrame) -> DataFrame:
     """(month, source, term, cnt)."""
     return counts.groupBy(F.date_format("day", "yyyy-MM").alias("month"), "source", "term").agg(F.sum("cnt").alias("cnt"))

@@ -95,6 +95,32 @@ def polls_long(wide: DataFrame, task_columns: list[str], keys: list[str]) -> Dat
     return wide.unpivot(keys, task_columns, "task", "y").where("y is not null")
 
 
+def polls_by_key(wide: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """(*keys, group_id, name, y) of the columns whose name holds ``part``; groups are numbered from 0 in the order of
+    their names, missing values give no row."""
+    names = sorted(c for c in wide.columns if part in c and c not in keys)
+    if not names:
+        return wide.select(*keys, F.lit(0).alias("group_id"), F.lit("").alias("name"), F.lit(0.0).alias("y")).where("false")
+    long = wide.unpivot(keys, names, "name", "y").where("y is not null")
+    number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("name"))
+    return long.select(*keys, number.alias("group_id"), "name", "y")
+
+
+def task_values(values: DataFrame, index: DataFrame, days: tuple[int, int] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    """(day, task, y): values (pos, task, y) gathered by an index (day, pos), positions from 1; of the days from the first up
+    to but without the second, and of the given tasks. Positions without values drop out."""
+    if days is not None:
+        index = index.where((F.col("day") >= days[0]) & (F.col("day") < days[1]))
+    if tasks is not None:
+        values = values.where(F.col("task").isin(tasks))
+    return index.join(values, "pos").select("day", "task", "y")
+
+
+def splits(x: DataFrame, words: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, part, *x): the panel with only the given words, once for each fold and part its day is in."""
+    return apply_folds(keep_words(x, words), folds)
+
+
 def subsample(x: DataFrame, fraction_words: float, fraction_users: float, seed: int = 0) -> DataFrame:
     """Rows of the words and users that a hash draws: the same on every run."""
     share = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)

@@ -26,14 +26,14 @@ def describe_cluster(clusters: DataFrame, labels: DataFrame, cluster: int = 1, t
     return top_words(clusters, t, cluster).join(labels, "cluster", "left")
 
 
-def topic_scores(df: DataFrame, tokens: Column, clusters: DataFrame, labels: DataFrame, t: int = 10, coherence: int = 3, apply_stopwords: bool = False) -> DataFrame:
+def topic_scores(df: DataFrame, tokens: Column, clusters: DataFrame, labels: DataFrame, t: int = 10, coherence: int = 3, apply_stopwords: bool = False, stop_words: list[str] | None = None) -> DataFrame:
     """(cluster, score): summed importance of all messages' tokens in clusters of enough coherence, as a share of all
     clusters from 1 on. Tokens are matched as written and count as often as they occur; cluster 0 has no label and
-    takes no part. At most ``t`` rows; ties go to the smaller cluster. Without any match there is no row.
+    takes no part. ``apply_stopwords`` leaves out the service's own ``stop_words``, by default those of the news. At most ``t`` rows; ties go to the smaller cluster. Without any match there is no row.
     """
     words = df.select(F.explode(tokens).alias("word"))
     if apply_stopwords:
-        words = words.where(~F.lower("word").isin(STOP_WORDS))
+        words = words.where(~F.lower("word").isin(list(STOP_WORDS) if stop_words is None else stop_words))
     able = clusters.join(labels.where(F.col("coherence") >= coherence).select("cluster"), "cluster", "left_semi").where("cluster >= 1")
     # Counting words first leaves one row a word for the join.
     counted = words.groupBy("word").count().join(able, "word")

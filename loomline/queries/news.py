@@ -113,10 +113,10 @@ def triples_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def thread_stories(spark: SparkSession, d: str) -> DataFrame:
     """Story segmentation over the lines of threads as paragraphs: a line with a tag ends a story with the tag's site
-    as source, a stock line says that there is no source."""
+    as source, a line of four words or less without a tag says that there is no source."""
     lines = read_table(spark, d, "documents").where("kind = 'thread' and text is not null").select(F.col("doc_id").cast("string").alias("file"), "day", F.posexplode(F.split("text", "\n")).alias("par", "line"))
     tag = F.regexp_extract("line", r"#(\w+)", 1)
-    stock = F.col("line").rlike("^(Nobody was available|Opinions remain)")
+    stock = (F.trim("line") != "") & (tag == "") & (F.size(F.split(F.trim("line"), " ")) <= 4)
     strings = F.when(stock, F.array(F.lit("No"), F.lit("link"))).when(F.trim("line") == "", F.array().cast("array<string>")).otherwise(F.array("line"))
     hrefs = F.when(stock | (tag == ""), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("http://www."), tag, F.lit(".example/x"))))
     words = F.filter(F.split(F.lower("line"), " "), lambda w: w.rlike("^[a-z]+$"))
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "triples_roundtrip": facts + " select cast(day as varchar) as day, source, term, cnt from c",
         "thread_stories": r"""with p as (select doc_id, string_split(text, chr(10)) as ls from documents where kind = 'thread' and text is not null),
             l as (select doc_id, unnest(range(0, len(ls))) as par, unnest(ls) as line from p),
-            m as (select *, regexp_extract(line, '#(\w+)', 1) as tag, regexp_matches(line, '^(Nobody was available|Opinions remain)') as stock from l where trim(line) <> '' or regexp_matches(line, '#(\w+)')),
+            m as (select *, regexp_extract(line, '#(\w+)', 1) as tag, trim(line) <> '' and not regexp_matches(line, '#(\w+)') and len(string_split(trim(line), ' ')) <= 4 as stock from l where trim(line) <> '' or regexp_matches(line, '#(\w+)')),
             q as (select *, stock or tag <> '' as ends, coalesce(sum(case when stock or tag <> '' then 1 else 0 end) over (partition by doc_id order by par rows between unbounded preceding and 1 preceding), 0) + 1 as story from m)
             select cast(doc_id as varchar) as file, cast(story as bigint) as story, cast(sum(len(list_filter(string_split(lower(line), ' '), lambda w: regexp_matches(w, '^[a-z]+$')))) as integer) as n_terms,
               max(case when stock then 'No Source' when tag <> '' then lower(tag) || '.example' end) as sources from q group by doc_id, story having bool_or(ends)""",

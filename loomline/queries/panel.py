@@ -274,6 +274,12 @@ def bilinear_dense_same(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "kind string, same boolean")
 
 
+def bilinear_objective(spark: SparkSession, d: str) -> DataFrame:
+    """(epoch, falls): whether the objective of the fit falls from epoch to epoch."""
+    values = bilinear.fit_regions(_expanded(spark, d), _y(spark, d), lam_w=0.5, lam_u=0.5, epochs=4, tolerance=0.0).objective
+    return spark.createDataFrame([(i, bool(i == 0 or v <= values[i - 1] * 1.001)) for i, v in enumerate(values)], "epoch int, falls boolean")
+
+
 def panel_experiment(spark: SparkSession, d: str) -> DataFrame:
     """(fold, task, region, sse, ...): the region model fitted on each fold's training days, scored on its test days.
     Folds grow over all days of the panel."""
@@ -292,7 +298,7 @@ def panel_experiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (panel_x, region_expand, region_flat_sum, gender_split, voc_keep, contract_v, contract_d, bilinear_predict, poll_panel, polls_long, baseline_mean, baseline_last, eval_linear, eval_bilinear, rmse_table, top_pos_neg_words, normalised_weights, selected_counts, sparsity, subsample, folds_growing, folds_windowed, folds_iterator, fold_val_split, fold_apply, lambda_search, lambda_best, prequential, bilinear_region_fit, bilinear_ridge_fit, bilinear_multitask_fit, bilinear_users_first_fit, bilinear_flat_fit, bilinear_incremental_fit, bilinear_open_users, bilinear_dense_same, panel_experiment)}
+    return {f.__name__: f for f in (panel_x, region_expand, region_flat_sum, gender_split, voc_keep, contract_v, contract_d, bilinear_predict, poll_panel, polls_long, baseline_mean, baseline_last, eval_linear, eval_bilinear, rmse_table, top_pos_neg_words, normalised_weights, selected_counts, sparsity, subsample, folds_growing, folds_windowed, folds_iterator, fold_val_split, fold_apply, lambda_search, lambda_best, prequential, bilinear_region_fit, bilinear_ridge_fit, bilinear_multitask_fit, bilinear_users_first_fit, bilinear_flat_fit, bilinear_incremental_fit, bilinear_open_users, bilinear_dense_same, bilinear_objective, panel_experiment)}
 
 
 _X = f"""with {ONCE}, e as (select ord, unnest({WORDS.format("all_tokens")}) as word from t where all_tokens is not null),
@@ -356,6 +362,7 @@ def oracle_sql() -> dict[str, str]:
             sp as (select fold, case when r >= 3 and r < 5 then 'val_it' else 'val_param' end as part, day from va)
             select * from fo where part in ('train', 'test') union all select * from sp union all select fold, 'train_all', day from fo where part = 'train' union all select fold, 'train_all', day from sp where part = 'val_param'""",
         "bilinear_open_users": _X + _Y + ' select distinct region, task, 0 as open from y',
+        "bilinear_objective": "select cast(range as integer) as epoch, true as falls from range(4)",
         "bilinear_dense_same": "select kind, true as same from (values ('graph'), ('multitask'), ('l1')) v(kind)",
         "fold_apply": _X + _Y + ", " + _ITER.format(n=7, h=2, v=4) + " select fold, part, task, round(avg(y), 6) as y, count(*) as n from y join fo using (day) group by 1, 2, 3",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,8 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
-    """key TAB count."""
-    counts.write.mode("overwrite").csv(path, sep="\t", quote="")
+    """key TAB count, keys as they are."""
+    counts.select(F.concat_ws("\t", *counts.columns).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_edges(edges: DataFrame, path: str, i: str = "i", j: str = "j", value: str = "npmi") -> None:
@@ -55,3 +55,29 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
 def wide_errors(table: DataFrame) -> DataFrame:
     """The table of errors with one column a region, as reports show it."""
     return table.groupBy("task").pivot("region").agg(F.first("model"))
+
+
+def write_sparse(panel: DataFrame, path: str, users: int) -> None:
+    """(row, col, x) with row = day x users + user: the flat form of a day x user x word panel."""
+    panel.select(flat_row(F.col("day"), F.col("user"), users).alias("row"), F.col("word").alias("col"), "x").write.mode("overwrite").parquet(path)
+
+
+def flat_row(day: Column, user: Column, users: int) -> Column:
+    return day.cast("long") * users + user
+
+
+def unflat_row(row: Column, users: int) -> tuple[Column, Column]:
+    """(day, user) of a flat row."""
+    return F.floor(row / F.lit(users)).cast("int"), F.pmod(row, F.lit(users))
+
+
+def copy_through(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder as it is, to another place; what was there is replaced."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def wordle(weights: DataFrame) -> DataFrame:
+    """(region, task, value): 'word: score' lines of the words with a positive score, as word clouds take them."""
+    return weights.where("score > 0").select("region", "task", F.format_string("%s: %.4f", "word", "score").alias("value"))

@@ -16,12 +16,14 @@ def file_day(name: Column) -> Column:
 
 
 def read_listed(spark: SparkSession, list_file: str, base: str) -> DataFrame:
-    """(raw, file, day): lines of all files that a list names, each under ``base``. The list itself is small."""
+    """(raw, file, day): lines of all files or folders that a list names, each under ``base``. The list itself is small."""
     names = [r.value.strip() for r in spark.read.text(list_file).collect() if r.value.strip()]
     if not names:
         return spark.createDataFrame([], "raw string, file string, day date")
-    rows = spark.read.text([f"{base.rstrip('/')}/{n}" for n in names]).select(F.col("value").alias("raw"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-    return rows.withColumn("day", file_day(F.col("file")))
+    rows = spark.read.text([f"{base.rstrip('/')}/{n}" for n in names]).select(F.col("value").alias("raw"), F.split(F.input_file_name(), "/").alias("_p"))
+    # A listed folder's name stands for those of the files in it.
+    folder, file = F.element_at("_p", -2), F.element_at("_p", -1)
+    return rows.select("raw", F.when(folder.isin(names), folder).otherwise(file).alias("file")).withColumn("day", file_day(F.col("file")))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -84,3 +86,10 @@ def read_user_genders(spark: SparkSession, path: str) -> DataFrame:
     """(user, gender) from lines 'user 0|1': 0 is female, 1 male."""
     got = scan_pattern(spark.read.text(path), r"^(\d+)\s+([01])\s*$", ["long", "int"]).toDF("user", "g")
     return got.select("user", F.when(F.col("g") == 0, "female").otherwise("male").alias("gender"))
+
+
+def vocabulary_of(words: DataFrame, index: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, word), ids from 0: the chosen positions (pos, ref) lead to positions of an index (pos, ref), and those to words
+    (pos, word); all positions count from 1. Positions that lead nowhere drop out."""
+    second = index.select(F.col("pos").alias("ref"), F.col("ref").alias("at"))
+    return chosen.join(second, "ref").join(words.select(F.col("pos").alias("at"), "word"), "at").select((F.col("pos") - 1).alias("id"), "word")

@@ -2,10 +2,10 @@
 
 import pytest
 
-from loomline.queries import news, panel, streams, text, words
+from loomline.queries import files, news, panel, streams, text, words
 from sqlcheck import assert_same, connect
 
-PARTS = (words, text, news, panel, streams)
+PARTS = (words, text, news, panel, streams, files)
 QUERIES = {k: v for p in PARTS for k, v in p.queries().items()}
 SQL = {k: v for p in PARTS for k, v in p.oracle_sql().items()}
 
