@@ -43,28 +43,33 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _in_few_files(df: DataFrame, limit: int) -> bool:
+    """Whether a table is small and lies in fewer files than there are cores: one file of one row group is one task
+    however many cores there are."""
+    if df.isStreaming:
+        return False
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= limit and 0 < len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
     """A small table that lies in fewer files than there are cores, over all cores; any other as it is.
 
-    One file of one row group is one task however many cores there are. Only where the table is small does moving it
-    cost less than that; large tables are never moved for this.
+    Only where the table is small does moving it cost less than that; large tables are never moved for this.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > limit or not 0 < len(df.inputFiles()) < cores:
-        return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _in_few_files(df, limit) else df
 
 
-def once_per_key(df: DataFrame, key: str) -> DataFrame:
+def once_per_key(df: DataFrame, key: str, limit: int = 1 << 30) -> DataFrame:
     """One row per non-null ``key``; which of several rows stays is not defined (they are redeliveries of one record).
 
     One scan and one shuffle of the selected columns; rows of one key are folded before the shuffle, so that a key that
-    comes very often sends one row a task.
+    comes very often sends one row a task. A small table in few files is spread first and folded by all cores.
     """
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    rows = df.where(F.col(key).isNotNull())
+    if _in_few_files(rows, limit):
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+    return rows.dropDuplicates([key])
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
