@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import stemmers, tokeniser
 from loomline.functions import text as X
-from loomline.operators import graph, news, panel, topics
+from loomline.operators import graph, learning, news, panel, topics
 from loomline.plans.lineage import cut
 from loomline.queries import news as news_queries
 from loomline.queries import panel as panel_queries
@@ -302,13 +302,22 @@ def eigengap(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(graph.eigengap(graph.leading_eigenvalues(_blocks(spark), 8)),)], "clusters int")
 
 
+def tree_prox(spark: SparkSession, d: str) -> DataFrame:
+    """(item, w): the tree regulariser's operator on three variables, {0} and {1, 2} below all of them, worked out by hand."""
+    import numpy as np
+
+    tree = learning.tree_from_table([(0, None, 0.8, []), (1, 0, 1.0, [0]), (2, 0, 0.5, [1, 2])])
+    got = learning.prox_tree(tree)(np.array([3.0, 2.0, 1.0]), 1.0)
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(got)], "item int, w double")
+
+
 def spectral_cover(spark: SparkSession, d: str) -> DataFrame:
     """(node): what the spectral clusters of the word graph hold; every node of the largest component, once."""
     return graph.spectral_clusters(word_queries._mutual(spark, d)[0], 30).select("node")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (json_lines_file, listed_lines, terms_file, dictionary_file, counts_file, edges_file, clusters_file, user_region_file, user_gender_file, by_party_files, news_files, triples_files, panel_files, gender_panel_files, day_lists, sparse_file, metrics_state, report_table, wordle_lines, polls_by_key, task_values, vocab_indirect, panel_splits, last_of_cell, series_by_region, records_united, page_stories, page_annotations, page_pos_terms, tokenise_golden, tokenise_aligned, stem_golden, domain_golden, spectral_planted, eigengap, spectral_cover)}
+    return {f.__name__: f for f in (json_lines_file, listed_lines, terms_file, dictionary_file, counts_file, edges_file, clusters_file, user_region_file, user_gender_file, by_party_files, news_files, triples_files, panel_files, gender_panel_files, day_lists, sparse_file, metrics_state, report_table, wordle_lines, polls_by_key, task_values, vocab_indirect, panel_splits, last_of_cell, series_by_region, records_united, page_stories, page_annotations, page_pos_terms, tokenise_golden, tokenise_aligned, stem_golden, domain_golden, spectral_planted, eigengap, tree_prox, spectral_cover)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -363,5 +372,6 @@ def oracle_sql() -> dict[str, str]:
         "domain_golden": f"select * from (values {_values(list(LINKS.items()))}) v(link, domain)",
         "spectral_planted": "select * from (values (0::bigint, 8::bigint), (20, 10), (40, 6)) v(least, nodes)",
         "eigengap": "select 3 as clusters",
+        "tree_prox": "select * from (values (0, 1.35::double), (1, 1.35), (2, 1.0)) v(item, w)",
         "spectral_cover": words["giant_component"],
     }
