@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.tokens import VOCABULARY, encoder, sample_texts
+from loomline.llm.tokens import VOCABULARY, encoder, sample_texts, shipped
 
 #: Bounds of the classifier: labelled records looked at and bytes of their texts, hash buckets of its words.
 MAX_LABELLED, MAX_BYTES = 3000, 32 << 20
@@ -123,10 +123,10 @@ def memberships(documents: DataFrame, keys: list[str], path: str = VOCABULARY, m
     picked = sample_texts(rows.where("key is not null"), "doc_id", max_labelled, max_bytes)
     classes = [*keys, "\x00other"]
     model = train([(r.text, r.key if r.key in keys else classes[-1]) for r in sorted(picked, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))], classes) if picked else None
-    at = {k: i for i, k in enumerate(keys)}
+    at, held = {k: i for i, k in enumerate(keys)}, shipped(documents.sparkSession, path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, held).encode_ordinary
         for frame in frames:
             p = np.zeros((len(frame), len(classes)))
             code = frame["key"].map(at).fillna(-1).to_numpy().astype(int)

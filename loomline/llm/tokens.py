@@ -6,7 +6,8 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files are; a parameter everywhere, never copied into this package.
@@ -25,14 +26,20 @@ class _Loaded(dict):
 _ENCODERS = _Loaded()
 
 
-def encoder(path: str):
-    """The tokenizer of a vocabulary file, loaded once a process."""
+def shipped(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """A vocabulary file of the driver, of a few megabytes, for executors that don't have it."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def encoder(path: str, held: Broadcast[bytes] | None = None):
+    """The tokenizer of a vocabulary file, loaded once a process; from ``held`` if it is given."""
     import tiktoken
 
     if path in _ENCODERS:
         return _ENCODERS[path]
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    lines = held.value if held is not None else open(path, "rb").read()
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
     _ENCODERS[path] = made = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return made
 
@@ -40,9 +47,11 @@ def encoder(path: str):
 def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "tokens", path: str = VOCABULARY) -> DataFrame:
     """``df`` with the number of tokens of the whole text; 0 for null and empty texts."""
 
+    held = shipped(df.sparkSession, path)
+
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, held).encode_ordinary
         for part in parts:
             yield pd.Series([len(encode(t)) if t else 0 for t in part], dtype="int64")
 
