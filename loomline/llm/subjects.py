@@ -268,7 +268,8 @@ def everyday(bodies: list[list[str]], labels: list[tuple[str, ...]]) -> set[str]
     mean = (x + y) / (a + b)
     ratio = 2 * (np.where(x > 0, x * np.log(np.maximum(x, 1) / (a * mean)), 0) + y * np.log(y / (b * mean)))
     picked = {w for w, g, u, v in zip(words, ratio, x, y, strict=True) if g > SIGNIFICANT and v / b >= EVERYDAY_RATIO * u / a and (u < 3 or share[w] < SOLE)}
-    telling = {w for w, n in inside.items() if n >= 3 and share[w] >= SOLE}
+    # Words more frequent outside tell nothing: those come in by documents labelled wrongly.
+    telling = {w for w, n in inside.items() if n >= 3 and share[w] >= SOLE and outside[w] / b < EVERYDAY_RATIO * n / a}
     seen, beside = Counter(), Counter()
     for sentences, named in zip(texts, labels, strict=True):
         for s in sentences if not named else ():
