@@ -2,14 +2,16 @@
 
 Method: a grouping genetic algorithm on islands. Texts are spread by hash over blocks of bounded size; each block is
 bred on several islands, each with a population of its own. A crossover injects whole well-filled containers of one
-parent into another, removes the containers that hold the same texts and best-fits the displaced ones. Between
-rounds each island's elite migrates to the next island. Containers that a block can't fill are dissolved and their
-texts packed again together with those of neighbouring blocks.
+parent into another, removes the containers that hold the same texts and fills new ones with the displaced texts, each
+as nearly as sums of their sizes allow. An island breeds until no packing can be better or many generations bring none.
+Between rounds each island's elite migrates to the next island. Containers that a block can't fill are dissolved and
+their texts packed again together with those of other blocks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -18,15 +20,15 @@ from pyspark.sql import functions as F
 
 from loomline.llm.tokens import VOCABULARY, with_token_counts
 
-#: Items of a block (on average), islands of a block, rounds between migrations, and each island's population.
+#: Items of a block (on average), islands of a block, rounds between migrations, each island's population, and the
+#: generations in a row without a fitter packing after which it counts as bred out.
 BLOCK_ITEMS = 1500
 ISLANDS = 2
 ROUNDS = 2
 POPULATION = 4
-GENERATIONS = 5
+PATIENCE = 40
 ELITE = 2
-#: Blocks whose ill-filled containers are packed again together; containers filled less than this are dissolved.
-POOL = 16
+#: Containers filled less than this are dissolved and their texts packed again in pools as large as blocks.
 WELL_FILLED = 0.985
 
 
@@ -45,8 +47,7 @@ class Packing:
 
     def labels(self, n: int) -> np.ndarray:
         out = np.zeros(n, np.int32)
-        for b, items in enumerate(self.bins):
-            out[list(items)] = b
+        out[[*chain.from_iterable(self.bins)]] = np.repeat(np.arange(len(self.bins)), [len(b) for b in self.bins])
         return out
 
 
@@ -70,37 +71,101 @@ def best_fit(bins: list[list[int]], loads: list[int], items: list[int], sizes: l
     return Packing([tuple(b) for b in bins], loads)
 
 
+def closest(items: list[int], sizes: list[int], gap: int) -> list[int]:
+    """Items whose sizes add up to the most that fits into ``gap``; the earlier ones where several choices do."""
+    sums, steps, most = 1, [], (1 << gap + 1) - 1  # bit k of sums: some of the items so far add up to k
+    for i in items:
+        if sizes[i] <= gap:
+            steps.append((i, sums))
+            sums |= sums << sizes[i] & most
+            if sums >> gap:
+                break
+    left, out = sums.bit_length() - 1, []
+    for i, before in reversed(steps):
+        if not before >> left & 1:
+            out.append(i)
+            left -= sizes[i]
+    return out
+
+
+def fill(bins: list[tuple[int, ...]], loads: list[int], items: list[int], sizes: list[int], capacity: int) -> Packing:
+    """New bins for the items: each takes the first ones while its gap is wide, then those that fill the rest best."""
+    total = sum([sizes[i] for i in items])
+    while items:
+        wide = 3 * total // len(items)
+        n, gap = 1, capacity - sizes[items[0]]
+        while n < len(items) and gap - sizes[items[n]] >= wide:
+            gap -= sizes[items[n]]
+            n += 1
+        last = closest(items[n:], sizes, gap)
+        load = capacity - gap + sum([sizes[i] for i in last])
+        bins.append((*items[:n], *last))
+        loads.append(load)
+        total -= load
+        items = items[n:]
+        for i in last:
+            items.remove(i)
+    return Packing(bins, loads)
+
+
 def crossover(taker: Packing, giver: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """Whole well-filled bins of the giver are injected into the taker; displaced items are best-fitted, largest first."""
+    """Whole well-filled bins of the giver are injected into the taker; displaced items fill new bins, largest first."""
     loads = np.array(giver.loads)
     good = np.argsort(-loads, kind="stable")[: max(1, len(loads) // 2)]
-    chosen = rng.choice(good, size=max(1, len(good) // 2), replace=False)
-    injected = [giver.bins[b] for b in chosen]
-    taken = {i for b in injected for i in b}
-    bins, kept_loads, displaced = [list(b) for b in injected], [giver.loads[b] for b in chosen], []
-    for b, load in zip(taker.bins, taker.loads, strict=True):
-        if taken.isdisjoint(b):
-            bins.append(list(b))
-            kept_loads.append(load)
-        else:
-            displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(bins, kept_loads, displaced, sizes, capacity)
+    chosen = rng.choice(good, size=max(1, len(good) // 2), replace=False).tolist()
+    bins, kept_loads = [giver.bins[b] for b in chosen], [giver.loads[b] for b in chosen]
+    taken = {i for b in bins for i in b}
+    whole = [taken.isdisjoint(b) for b in taker.bins]
+    displaced = [i for b, kept in zip(taker.bins, whole, strict=True) if not kept for i in b if i not in taken]
+    displaced.sort(key=sizes.__getitem__, reverse=True)
+    bins += compress(taker.bins, whole)
+    kept_loads += compress(taker.loads, whole)
+    return fill(bins, kept_loads, displaced, sizes, capacity)
 
 
 def mutate(one: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """The emptiest bins and a few others are dissolved and their items best-fitted in a shaken order."""
-    n = len(one.bins)
-    gone = {*np.argsort(one.loads, kind="stable")[:2].tolist(), *rng.integers(0, n, max(1, n // 25)).tolist()}
-    displaced = [i for b in gone for i in one.bins[b]]
-    displaced.sort(key=lambda i: -sizes[i] * rng.uniform(0.8, 1.0))
-    keep = [b for b in range(n) if b not in gone]
-    return best_fit([list(one.bins[b]) for b in keep], [one.loads[b] for b in keep], displaced, sizes, capacity)
+    """The emptiest bins, some others that aren't full and a few of all are dissolved; their items fill new bins in a
+    shaken order."""
+    n, loads = len(one.bins), np.array(one.loads)
+    ajar = np.flatnonzero(loads < capacity)
+    some = rng.choice(ajar, min(len(ajar), 8), replace=False)
+    gone = {*np.argsort(loads, kind="stable")[:2].tolist(), *some.tolist(), *rng.integers(0, n, max(2, n // 25)).tolist()}
+    displaced = [i for b in sorted(gone) for i in one.bins[b]]
+    shaken = rng.uniform(0.8, 1.0, len(displaced)) * [sizes[i] for i in displaced]
+    displaced = [displaced[k] for k in np.argsort(-shaken, kind="stable").tolist()]
+    kept = [b not in gone for b in range(n)]
+    return fill([*compress(one.bins, kept)], [*compress(one.loads, kept)], displaced, sizes, capacity)
+
+
+def fullest(sizes: list[int], capacity: int) -> int:
+    """The most that any of the sizes add up to within the capacity."""
+    sums, most = 1, (1 << capacity + 1) - 1
+    for size in sizes:
+        sums |= sums << size & most
+        if sums >> capacity:
+            break
+    return sums.bit_length() - 1
+
 
+def fewest(sizes: list[int], full: int) -> int:
+    """A number of bins that no packing can undercut: items beside which not even the smallest fits have a bin each, the
+    others fill theirs at best."""
+    smallest = min(sizes)
+    shared = [s for s in sizes if s + smallest <= full]
+    return len(sizes) - len(shared) - (-sum(shared) // full)
 
-def _full(population: list[Packing], sizes: list[int], capacity: int) -> bool:
-    """Whether the best packing has as few bins as any could have."""
-    return len(population[0].bins) <= -(-sum(sizes) // capacity)
+
+def limits(sizes: list[int], capacity: int) -> tuple[int, int, int]:
+    """(fullest, fewest, smallest size) of the items."""
+    full = fullest(sizes, capacity)
+    return full, fewest(sizes, full), min(sizes)
+
+
+def unbeatable(one: Packing, full: int, least: int, smallest: int) -> bool:
+    """Whether no packing has fewer bins or more of the unused room in a single one, whose items go to the pool."""
+    if len(one.bins) > least:
+        return False
+    return sum(load < full and (len(b) > 1 or load + smallest <= full) for b, load in zip(one.bins, one.loads, strict=True)) <= 1
 
 
 def first_generation(sizes: list[int], capacity: int, rng: np.random.Generator, n: int = POPULATION) -> list[Packing]:
@@ -112,30 +177,30 @@ def first_generation(sizes: list[int], capacity: int, rng: np.random.Generator,
     return out
 
 
-def start(sizes: list[int], capacity: int, rng: np.random.Generator, n: int = POPULATION) -> list[Packing]:
-    """A first generation, or the plain packing alone where no other can have fewer bins."""
-    plain = [best_fit([], [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)]
-    return plain if _full(plain, sizes, capacity) else first_generation(sizes, capacity, rng, n)
-
-
-def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.random.Generator, generations: int = GENERATIONS) -> list[Packing]:
-    """The fittest packings first. Stops early where no packing with fewer bins can exist."""
-    rank = lambda ps: sorted(ps, key=lambda p: (len(p.bins), -p.fitness(capacity)))
-    population = rank(population)
-    for _ in range(generations):
-        if len(population) < 2 or _full(population, sizes, capacity):
-            break
-        a, b = population[0], population[int(rng.integers(1, len(population)))]
-        children = [crossover(a, b, sizes, capacity, rng), mutate(a, sizes, capacity, rng)]
-        population = rank([*population, *children])[:POPULATION]
-    return population
+def evolve(population: list[Packing], sizes: list[int], capacity: int, rng: np.random.Generator, patience: int = PATIENCE) -> list[Packing]:
+    """The fittest packings first, those of equal fitness once. Breeds until no packing can be fitter or ``patience``
+    generations in a row brought none that is."""
+    full, least, smallest = limits(sizes, capacity)
+    worth = lambda p: (len(p.bins), -p.fitness(full))
+    ranked = sorted({worth(p): p for p in population}.items())
+    idle = 0
+    while idle < patience and (idle or not unbeatable(ranked[0][1], full, least, smallest)):
+        a = ranked[0][1]
+        children = [mutate(a, sizes, full, rng)]
+        if len(ranked) > 1:
+            children.append(crossover(a, ranked[int(rng.integers(1, len(ranked)))][1], sizes, full, rng))
+        bred = sorted({**dict(ranked), **{worth(p): p for p in children}}.items())[:POPULATION]
+        idle = 0 if bred[0][0] < ranked[0][0] else idle + 1
+        ranked = bred
+    return [p for _, p in ranked]
 
 
 def _restore(labels: np.ndarray, sizes: list[int]) -> Packing:
     order = np.argsort(labels, kind="stable")
-    cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    bins = [tuple(x.tolist()) for x in np.split(order, cuts)]
-    return Packing(bins, [sum(sizes[i] for i in b) for b in bins])
+    cuts = [0, *(np.flatnonzero(np.diff(labels[order])) + 1).tolist()]
+    items = order.tolist()
+    bins = [tuple(items[a:b]) for a, b in pairwise([*cuts, len(items)])]
+    return Packing(bins, np.add.reduceat(np.array(sizes)[order], cuts).tolist())
 
 
 #: Columns that travel between rounds; e0 and e1 are an item's bins in the island's two fittest packings, -1 for none.
@@ -143,14 +208,19 @@ ITEMS = "kind int, capacity int, block long, island int, doc_id long, piece int,
 
 
 def _island(frame: pd.DataFrame) -> pd.DataFrame:
-    """One round of one island. Each item comes once, or twice with a migrant elite."""
+    """One round of one island. Each item comes once, or twice with a migrant elite. What can't be bettered stays as it is."""
+    kept = frame[frame["own"]]
+    if kept["e0"].iloc[0] >= 0:
+        sizes = kept["size"].tolist()
+        if unbeatable(_restore(kept["e0"].to_numpy(), sizes), *limits(sizes, int(kept["capacity"].iloc[0]))):
+            return kept[["kind", "capacity", "block", "island", "doc_id", "piece", "nr", "size", "e0", "e1"]]
     frame = frame.sort_values(["own", "nr", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
     n = int(frame["own"].sum())
     own, guests = frame.iloc[:n], frame.iloc[n:]
     sizes, capacity = own["size"].tolist(), int(own["capacity"].iloc[0])
     rng = np.random.default_rng([int(own["block"].iloc[0]) & 0x7FFFFFFF, int(own["island"].iloc[0]), int(frame["round"].iloc[0]), capacity])
     population = [_restore(part[e].to_numpy(), sizes) for part in (own, guests) for e in ("e0", "e1") if len(part) and part[e].iloc[0] >= 0]
-    best = evolve(population or start(sizes, capacity, rng), sizes, capacity, rng)[:ELITE]
+    best = evolve(population or first_generation(sizes, capacity, rng), sizes, capacity, rng)[:ELITE]
     out = own[["kind", "capacity", "block", "island", "doc_id", "piece", "nr", "size"]].copy()
     out["e0"] = best[0].labels(n)
     out["e1"] = best[1].labels(n) if len(best) > 1 else np.full(n, -1, np.int32)
@@ -182,7 +252,7 @@ def _repack(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "piece"], kind="stable")
     sizes, capacity = frame["size"].tolist(), int(frame["capacity"].iloc[0])
     rng = np.random.default_rng([int(frame["block"].iloc[0]) & 0x7FFFFFFF, capacity])
-    return _loaded(frame, evolve(start(sizes, capacity, rng, 2), sizes, capacity, rng)[0].labels(len(sizes)))
+    return _loaded(frame, evolve(first_generation(sizes, capacity, rng), sizes, capacity, rng)[0].labels(len(sizes)))
 
 
 def pieces(sized: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
@@ -211,11 +281,15 @@ def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY, id
     sized = with_token_counts(texts, "text", path=path).select("doc_id", "tokens")
     items = cut(pieces(sized, kinds).withColumn("nr", F.monotonically_increasing_id()))
     loose = items.where("doc_id is not null and size > 0 and size < capacity")
-    counts = {r.kind: r["count"] for r in loose.groupBy("kind").count().collect()}
-    blocks = F.lit(1)
-    for kind, n in counts.items():
-        blocks = F.when(F.col("kind") == kind, F.lit(-(-n // BLOCK_ITEMS))).otherwise(blocks)
-    spread = loose.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "nr"), blocks.cast("long")))
+
+    def by_items(df: DataFrame) -> Column:
+        """How many blocks the items of a row's kind make."""
+        blocks = F.lit(1)
+        for r in df.groupBy("kind").count().collect():
+            blocks = F.when(F.col("kind") == r.kind, F.lit(-(-r["count"] // BLOCK_ITEMS))).otherwise(blocks)
+        return blocks.cast("long")
+
+    spread = loose.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "nr"), by_items(loose)))
     state = spread.select("*", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.lit(-1).alias("e0"), F.lit(-1).alias("e1"))
     for round_ in range(ROUNDS):
         own = state.withColumn("own", F.lit(True))
@@ -230,7 +304,9 @@ def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY, id
         return df.select(kind.alias("kind"), "capacity", container.alias("container"), "doc_id", "piece", F.col(size).alias("tokens"))
 
     name = lambda level: F.concat_ws("-", kind, F.lit(level), "block", "bin")
-    pooled = packed.where(~filled).withColumn("block", F.floor(F.col("block") / POOL)).groupBy("kind", "block").applyInPandas(_repack, PACKED)
+    left = packed.where(~filled)
+    pools = by_items(left)
+    pooled = left.withColumn("block", F.pmod("block", pools)).groupBy("kind", "block").applyInPandas(_repack, PACKED)
     whole = items.where("doc_id is not null and size = capacity")
     empty = items.where("doc_id is null or size <= 0")
     parts = [assigned(packed.where(filled), name("a")), assigned(pooled, name("b")), assigned(whole, F.concat_ws("-", kind, F.lit("w"), "nr")), assigned(empty, F.lit(None).cast("string"))]

@@ -379,6 +379,25 @@ def test_genetic_steps_keep_every_item():
     assert len(packing.evolve(population, sizes, 100, rng)[0].bins) <= len(population[0].bins)
 
 
+def test_breeding_goes_on_to_the_end():
+    """Five generations left these two and one containers above the fewest."""
+    for seed in (0, 1):
+        rng = np.random.default_rng(seed)
+        sizes = np.clip(np.exp(rng.normal(5.2, 0.7, 1500)).astype(int), 6, 511).tolist()
+        best = packing.evolve(packing.first_generation(sizes, 512, rng), sizes, 512, rng)[0]
+        assert sorted(i for b in best.bins for i in b) == list(range(1500))
+        assert all(sum(sizes[i] for i in b) == load <= 512 for b, load in zip(best.bins, best.loads, strict=True))
+        assert len(best.bins) == -(-sum(sizes) // 512)
+
+
+def test_fewest_bins():
+    assert packing.limits([40] * 10, 100) == (80, 5, 40) and packing.limits([60, 60, 70, 20, 20], 100) == (100, 3, 20)
+    assert packing.limits([95, 95, 50, 50, 6], 100) == (100, 4, 6)
+    rng = np.random.default_rng(4)
+    for sizes, bins in (([40] * 10, 5), ([60] * 9, 9), ([95, 95, 50, 50, 6], 4), (rng.integers(34, 50, 200).tolist(), 100)):
+        assert len(packing.evolve(packing.first_generation(sizes, 100, rng), sizes, 100, rng)[0].bins) == bins
+
+
 # ------------------------------------------------------------------ 7: mixing
 def test_mixing(spark):
     rng = random.Random(6)
