@@ -191,3 +191,33 @@ def test_registered_fits_take_all_users_words_and_epochs(spark, data, monkeypatc
         x, options = seen.value.args
         assert "epochs" not in options
         assert n is None or x.count() == n
+
+
+def test_fits_scan_the_panel_once_and_shuffle_no_entry_again(spark, monkeypatch):
+    """A panel is packed by users; the steps of several fits take weights in without shuffling users or joining words."""
+    x, y = L.random_panel(days=20, zeros=0.5)
+    sx, sy = spark.createDataFrame(x), spark.createDataFrame(y)
+    packed = B.pack_panel(sx)
+    assert packed.users.count() == len(x[["region", "user"]].drop_duplicates()) and packed.n_words == x["word"].nunique()
+    plans, cut_ = [], B.cut
+    monkeypatch.setattr(B, "cut", lambda df: (plans.append((df.columns[0], df._jdf.queryExecution().executedPlan().toString())), cut_(df))[1])
+    fits = [B.fit_regions(p, sy, lam_w=0.5, lam_u=0.5, epochs=2) for p in (packed, packed, sx)]
+    steps = [plan for name, plan in plans if name == "r"]
+    assert steps and not any("Exchange hashpartitioning" in plan or "SortMergeJoin" in plan for plan in steps)
+    for table in ("w", "u", "bias"):
+        parts = [getattr(f, table).toPandas() for f in fits]
+        assert len(parts[0]) and all(parts[0].iloc[:, :-1].equals(p.iloc[:, :-1]) and np.allclose(parts[0].iloc[:, -1], p.iloc[:, -1], rtol=1e-3, atol=1e-4) for p in parts[1:])
+
+
+def test_fit_by_cell_is_exact_in_few_steps():
+    """Many counts of very different sizes on few days, among them copies: the splitting alone needed thousands of steps."""
+    n, days = 400, 24
+    draw = np.random.default_rng(3)
+    columns = draw.poisson(2.0, (n, 1, days)) * np.exp(2 * draw.normal(size=(n, 1, 1))) * np.ones((1, 2, 1))
+    columns[5], columns[7], columns[9] = columns[6], 2 * columns[8], 0
+    y, seen, lam = draw.normal(size=(2, days)) + 2, draw.random((2, days)) < 0.9, np.full(2, 0.01)
+    w, b = B.solve(columns, y, seen, lam, B.Penalty(), True, np.zeros((n, 2)), max_steps=0)
+    residual = np.where(seen, np.einsum("ic,icd->cd", w, columns) + b[:, None] - y, 0)
+    gradient = np.einsum("icd,cd->ic", columns, residual)
+    assert (np.abs(gradient) <= lam * 1.001).all() and np.allclose(gradient[w != 0], (-np.sign(w) * lam)[w != 0], rtol=1e-3)
+    assert np.allclose(residual.sum(axis=1), 0, atol=1e-8) and (w != 0).sum(axis=0).max() <= days
