@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.plans.lineage import cut, release
 
+#: Edges that stay together as bytes where they are spread, and nodes up to which clusters are joined as a broadcast list.
+PIECE, FEW_NODES = 1 << 20, 1 << 18
+
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` heaviest edges of each src; equal weights go to the smaller dst."""
@@ -25,6 +30,31 @@ def mutual(edges: DataFrame) -> DataFrame:
     return low.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("weight")).where("n >= 2").select("src", "dst", "weight")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """(u, v), u > v: links that join what the links (a, b) join, fewer than each task has nodes: (node, least node of
+    its component among the task's links)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            a, b = (np.asarray(c) for c in batch.columns)
+            ends, code = np.unique(np.r_[names, root, a, b], return_inverse=True)  # what is known counts as links
+            x, y = np.r_[code[: len(names)], code[2 * len(names) : 2 * len(names) + len(a)]], np.r_[code[len(names) : 2 * len(names)], code[2 * len(names) + len(a) :]]
+            label = np.arange(len(ends))
+            while (label[x] != label[y]).any():
+                low = np.minimum(label[x], label[y])
+                np.minimum.at(label, label[x], low)
+                np.minimum.at(label, label[y], low)
+                while (label[label] != label).any():
+                    label = label[label]
+            names, root = ends, ends[label]
+        apart = names != root
+        for i in range(0, int(apart.sum()), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(names[apart][i : i + (1 << 16)]), pa.array(root[apart][i : i + (1 << 16)])], ["u", "v"])
+
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null").mapInArrow(run, "u long, v long")
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable over the undirected links (a, b), for each node.
 
@@ -57,7 +87,9 @@ def giant_component(edges: DataFrame) -> DataFrame:
     """(node) of the largest component of the undirected edges (src, dst); of equally large ones, that of the least node."""
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = cut(components(nodes, links))
+    whole = all(t in ("int", "bigint", "smallint", "tinyint") for _, t in links.dtypes)
+    # Each task's links are first folded to at most as many as it has nodes.
+    roots = cut(components(nodes, forest(links).select(F.col("u").alias("a"), F.col("v").alias("b")) if whole else links))
     best = roots.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1)
     return roots.join(F.broadcast(best.select("root")), "root", "left_semi").select("node")
 
@@ -93,39 +125,51 @@ def leading_vectors(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int,
     """(values, vectors) of the k largest eigenvalues, rising, of the sparse symmetric matrix with entries w at (a, b)
     and (b, a): Lanczos steps with full reorthogonalisation, more of them until the residuals are small."""
     order = np.argsort(np.r_[a, b], kind="stable")
-    row, col, val = np.r_[a, b][order], np.r_[b, a][order], np.r_[w, w][order]
-    return lanczos(lambda v: np.bincount(row, weights=val * v[col], minlength=n), n, k, seed, tolerance)
+    col, val = np.r_[b, a][order], np.r_[w, w][order]
+    degree = np.bincount(np.r_[a, b], minlength=n)
+    held = np.flatnonzero(degree)
+    starts = np.r_[0, np.cumsum(degree[held])[:-1]]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(held):
+            out[held] = np.add.reduceat(val * v[col], starts)
+        return out
+
+    return lanczos(times, n, k, seed, tolerance)
 
 
 def lanczos(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int = 0, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """``leading_vectors`` of the symmetric matrix that ``times`` multiplies a vector by."""
     q = np.random.default_rng(seed).normal(size=n)
-    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
     goal = min(n, max(4 * k, 120))
+    space, alpha, beta = np.zeros((goal + 1, n)), [], []  # rows are the basis
+    space[0], filled = q / np.linalg.norm(q), 1
     while True:
         while len(alpha) < goal:
-            v = times(basis[-1])
-            alpha.append(float(v @ basis[-1]))
-            block = np.array(basis)
+            block = space[:filled]
+            v = times(block[-1])
+            alpha.append(float(v @ block[-1]))
             for _ in range(2):
                 v -= block.T @ (block @ v)
             size = float(np.linalg.norm(v))
             beta.append(size)
             if size < 1e-12 or len(alpha) == n:  # an invariant subspace: what is left is reached from a new direction
-                if len(alpha) >= goal or len(basis) >= n:
+                if len(alpha) >= goal or filled >= n:
                     break
                 v = np.random.default_rng(seed + len(alpha)).normal(size=n)
                 for _ in range(2):
                     v -= block.T @ (block @ v)
                 beta[-1], size = 0.0, float(np.linalg.norm(v))
-            basis.append(v / size)
+            space[filled], filled = v / size, filled + 1
         m = len(alpha)
         t = np.diag(alpha) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1)
         values, inner = np.linalg.eigh(t)
         keep = slice(max(0, m - k), m)
         if m >= n or np.abs(beta[m - 1] * inner[-1, keep]).max() < tolerance:
-            return values[keep], np.array(basis[:m]).T @ inner[:, keep]
-        goal = min(n, 2 * goal)
+            return values[keep], space[:m].T @ inner[:, keep]
+        goal = min(n, goal + max(40, goal // 4))
+        space = np.concatenate([space, np.zeros((goal + 1 - len(space), n))])
 
 
 def spectral_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, k: int, seed: int = 0) -> np.ndarray:
@@ -147,11 +191,17 @@ def _spread_labels(edges: DataFrame, nodes: np.ndarray, k: int, seed: int) -> np
     names = context.broadcast(nodes)
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"a": np.searchsorted(names.value, f["src"]), "b": np.searchsorted(names.value, f["dst"]), "w": f["weight"].astype(float)})
-
-    # As many pieces as cores: each hands back one vector a product.
-    coded = cut(edges.select("src", "dst", "weight").coalesce(context.defaultParallelism).mapInPandas(code, "a long, b long, w double"))
+        held, size = [], 0
+        for f in chain(frames, (None,)):
+            if f is not None:
+                held.append((np.searchsorted(names.value, f["src"]).astype(np.int32), np.searchsorted(names.value, f["dst"]).astype(np.int32), f["weight"].to_numpy(float)))
+                size += len(f)
+            if size >= PIECE or f is None and held:
+                yield pd.DataFrame({c: [np.concatenate(x).tobytes()] for c, x in zip("abw", zip(*held, strict=True), strict=True)})
+                held, size = [], 0
+
+    # As many pieces as cores: each hands back one vector a product. Their edges lie in bytes, which no pass takes apart.
+    coded = cut(edges.select("src", "dst", "weight").coalesce(context.defaultParallelism).mapInPandas(code, "a binary, b binary, w binary"))
 
     def product(v: np.ndarray) -> np.ndarray:
         sent = context.broadcast(v)
@@ -159,8 +209,9 @@ def _spread_labels(edges: DataFrame, nodes: np.ndarray, k: int, seed: int) -> np
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, total = sent.value, np.zeros(n)
             for f in frames:
-                a, b, w = (f[c].to_numpy() for c in ("a", "b", "w"))
-                total += np.bincount(a, w * x[b], n) + np.bincount(b, w * x[a], n)
+                for r in f.itertuples():
+                    a, b, w = np.frombuffer(r.a, np.int32), np.frombuffer(r.b, np.int32), np.frombuffer(r.w)
+                    total += np.bincount(a, w * x[b], n) + np.bincount(b, w * x[a], n)
             yield pd.DataFrame({"total": [total.tobytes()]})
 
         total = np.zeros(n)
@@ -171,22 +222,21 @@ def _spread_labels(edges: DataFrame, nodes: np.ndarray, k: int, seed: int) -> np
 
     root = 1 / np.sqrt(np.maximum(product(np.ones(n)), 1e-12))
     _, vectors = lanczos(lambda v: root * product(root * v), n, k, seed)
+    release(coded)
     return _kmeans(vectors * root[:, None], k, np.random.default_rng(seed))
 
 
-def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, local_edges: int = 4_000_000) -> DataFrame:
+def spectral_clusters(edges: DataFrame, n_clusters: int, seed: int = 0, local_edges: int = 4_000_000, giant: DataFrame | None = None) -> DataFrame:
     """(node, cluster): spectral clustering of the largest component of the undirected edges (src, dst, weight), each
     listed once.
 
     The method is the same at every size. Up to ``local_edges`` edges one task holds them; more stay spread, and each
     product of the eigenproblem is a pass over them. Some hundred vectors of the nodes are held in one place, which
-    the vocabulary bounds.
+    the vocabulary bounds. ``giant``: the nodes of the largest component where they are known.
     """
-    giant = cut(giant_component(edges))
+    giant = cut(giant_component(edges)) if giant is None else giant
     inside = edges.join(giant.select(F.col("node").alias("src")), "src", "left_semi")
     if (inside := cut(inside)).count() > local_edges:
-        import pyarrow as pa
-
         nodes = np.sort(giant.toArrow()["node"].to_numpy())
         labels = _spread_labels(inside, nodes, n_clusters, seed)
         table = pa.table({"node": nodes.astype(np.int64), "cluster": labels.astype(np.int32)})
@@ -218,13 +268,21 @@ def smooth_over_time(edges: DataFrame, previous: DataFrame, alpha: float) -> Dat
 
     Nodes that are no longer there lose their edges.
     """
+    return _mixed(_aligned(edges, previous), alpha)
+
+
+def _aligned(edges: DataFrame, previous: DataFrame) -> DataFrame:
+    """(src, dst, weight, was, old_src, old_dst): the edges of both times side by side, the same for any share."""
     now = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     before = previous.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     p = previous.select("src", "dst", F.col("weight").alias("was"))
     for s in ("src", "dst"):
         p = p.join(now.withColumnRenamed("node", s), s, "left_semi")
     old = lambda s: before.select(F.col("node").alias(s), F.lit(True).alias(f"old_{s}"))
-    joined = edges.join(p, ["src", "dst"], "full_outer").join(old("src"), "src", "left").join(old("dst"), "dst", "left")
+    return edges.join(p, ["src", "dst"], "full_outer").join(old("src"), "src", "left").join(old("dst"), "dst", "left")
+
+
+def _mixed(joined: DataFrame, alpha: float) -> DataFrame:
     known = F.col("old_src").isNotNull() & F.col("old_dst").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     mixed = F.when(known, zero("was") * alpha + zero("weight") * (1 - alpha)).otherwise(zero("weight"))
@@ -239,10 +297,11 @@ def estimate_alpha(edges: DataFrame, previous: DataFrame, clusters: DataFrame) -
     ``clusters`` (node, cluster) don't count. 0 where nothing is known of the past.
     """
     sizes = {r.cluster: r["count"] for r in clusters.groupBy("cluster").count().collect()}  # as many as clusters were asked for
+    few = F.broadcast if sum(sizes.values()) <= FEW_NODES else lambda df: df
 
     def blocks(df: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
         side = lambda x: clusters.select(F.col("node").alias(x), F.col("cluster").alias(f"c_{x}"))
-        joined = df.join(side("src"), "src").join(side("dst"), "dst")
+        joined = df.join(few(side("src")), "src").join(few(side("dst")), "dst")
         key = [F.least("c_src", "c_dst").alias("a"), F.greatest("c_src", "c_dst").alias("b")]
         rows = joined.groupBy(*key).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q")).collect()
         return {(r.a, r.b): (r.s, r.q) for r in rows}
@@ -273,11 +332,16 @@ def evolve_clusters(edges: DataFrame, previous: DataFrame | None, before: DataFr
     """(smoothed edges, clusters, alpha) of one time step: smoothing and clustering in turn, ``rounds`` times where alpha
     is estimated; clusters take the numbers of the previous ones that they share most nodes with."""
     clusters, smoothed, used = before, edges, 0.0
-    for _ in range(rounds if alpha is None and previous is not None else 1):
-        if previous is not None:
+    # The rounds differ in weights only: edges of both times are joined once, and hold the same largest component.
+    joined = cut(_aligned(edges, previous)) if previous is not None else None
+    giant = cut(giant_component(edges if joined is None else joined))
+    for n in range(rounds if alpha is None and previous is not None else 1):
+        if joined is not None:
+            if n:
+                release(smoothed)
             used = estimate_alpha(edges, previous, clusters) if alpha is None else alpha
-            smoothed = cut(smooth_over_time(edges, previous, used))
-        clusters = cut(spectral_clusters(smoothed, k))
+            smoothed = cut(_mixed(joined, used))
+        clusters = cut(spectral_clusters(smoothed, k, giant=giant))
     if before is not None:
         pairs = match_clusters(clusters, before).collect()
         taken = {r.previous for r in pairs if r.previous is not None}

@@ -193,3 +193,30 @@ def test_spectral_of_spread_edges(spark):
     frame = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(2)
     parts = [{frozenset(n for n, c in got if c == k) for k in range(3)} for got in (rows(graph.spectral_clusters(frame, 3, local_edges=m)) for m in (0, 1000))]
     assert parts[0] == parts[1] == {frozenset(range(0, 8)), frozenset(range(20, 30)), frozenset(range(40, 46))}
+
+
+def test_evolving_joins_the_times_and_finds_the_component_once(spark, monkeypatch):
+    blocks = (range(0, 6), range(10, 17), range(20, 25))
+    edges = [(a, b, 2.0) for block in blocks for a in block for b in block if a < b] + [(5, 10, 0.01), (16, 20, 0.01)]
+    now = spark.createDataFrame(edges + [(30, 31, 9.0)], "src int, dst int, weight double")
+    before = spark.createDataFrame(edges[:-3] + [(16, 20, 0.5)], "src int, dst int, weight double")
+    calls, found = [], graph.giant_component
+    monkeypatch.setattr(graph, "giant_component", lambda e: calls.append(1) or found(e))
+    first = graph.evolve_clusters(before, None, None, 3)[1]
+    smoothed, clusters, alpha = graph.evolve_clusters(now, before, first, 3)
+    assert len(calls) == 2
+    assert rows(smoothed) == rows(graph.smooth_over_time(now, before, alpha))
+    got = rows(clusters)
+    assert {frozenset(n for n, c in got if c == k) for k in range(3)} == {frozenset(b) for b in blocks}
+
+
+def test_forest_keeps_components_with_fewer_links(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for base in (0, 100, 200) for a, b in draw.integers(base, base + 40, (600, 2))] + [(7, 7), (None, 3)]
+    links = spark.createDataFrame(pairs, "a int, b int").repartition(3)
+    less = graph.forest(links).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    assert less.count() <= 3 * nodes.count() < links.count()
+    assert rows(graph.components(nodes, less)) == rows(graph.components(nodes, links))
