@@ -221,3 +221,14 @@ def test_fit_by_cell_is_exact_in_few_steps():
     gradient = np.einsum("icd,cd->ic", columns, residual)
     assert (np.abs(gradient) <= lam * 1.001).all() and np.allclose(gradient[w != 0], (-np.sign(w) * lam)[w != 0], rtol=1e-3)
     assert np.allclose(residual.sum(axis=1), 0, atol=1e-8) and (w != 0).sum(axis=0).max() <= days
+
+
+def test_experiment_packs_the_panel_once_for_all_folds(spark, data, monkeypatch):
+    from loomline.queries import panel as queries
+
+    packs, fits = [], []
+    pack, fit = B.pack_panel, B.fit_regions
+    monkeypatch.setattr(B, "pack_panel", lambda x: (packs.append(1), pack(x))[1])
+    monkeypatch.setattr(B, "fit_regions", lambda x, y, **o: (fits.append(sorted(r.day for r in y.select("day").distinct().collect())), fit(x, y, epochs=1, **o))[1])
+    scored = queries.panel_experiment(spark, data).toPandas()
+    assert len(packs) == 1 and len(fits) == scored["fold"].nunique() > 1 and len({tuple(f) for f in fits}) == len(fits)
